@@ -33,4 +33,4 @@ def T(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # import the query modules so they register themselves
-from . import q_corpus  # noqa: E402,F401
+from . import q_corpus, q_sequences  # noqa: E402,F401
