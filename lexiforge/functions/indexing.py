@@ -15,19 +15,24 @@ from pyspark.sql import functions as F
 HASH_BUCKET_HEX = 4  # 16**4 = 65,536 buckets at most
 
 
-def dense_index_by_hash(df: DataFrame, hash_col: str, out: str, tie_cols: list[str] | None = None) -> DataFrame:
-    """0-based index of each row in the order of the hex string ``hash_col``
-    (ties broken by ``tie_cols``)."""
+def dense_index_by_hash(df: DataFrame, hash_col: str, out: str, tie_cols: list[str] | None = None,
+                        group_cols: list[str] | None = None) -> DataFrame:
+    """0-based index of each row in the order (group_cols, hex string ``hash_col``,
+    tie_cols). With ``group_cols`` the index restarts at 0 in every group."""
     tie_cols = tie_cols or []
+    group_cols = group_cols or []
     b = F.substring(F.col(hash_col), 1, HASH_BUCKET_HEX)
     with_b = df.withColumn("_bucket", b)
-    counts = with_b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    w_all = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(w_all), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_bucket").orderBy(F.col(hash_col), *[F.col(c) for c in tie_cols])
+    bkeys = [*group_cols, "_bucket"]
+    counts = with_b.groupBy(*bkeys).agg(F.count(F.lit(1)).alias("_n"))
+    w_all = Window.orderBy(*bkeys).rowsBetween(Window.unboundedPreceding, -1)
+    if group_cols:
+        w_all = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*bkeys, F.coalesce(F.sum("_n").over(w_all), F.lit(0)).alias("_off"))
+    w = Window.partitionBy(*bkeys).orderBy(F.col(hash_col), *[F.col(c) for c in tie_cols])
     numbered = with_b.withColumn("_rn", F.row_number().over(w))
     return (
-        numbered.join(F.broadcast(offsets), "_bucket")
+        numbered.join(offsets, bkeys)
         .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long"))
         .drop("_bucket", "_rn", "_off")
     )

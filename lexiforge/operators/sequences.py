@@ -76,19 +76,31 @@ def plan_chunks(sent_lengths: DataFrame, n_docs: int, reps: int, seed: int, max_
         return pd.DataFrame(rows, columns=["rep", "doc_index", "start", "end", "cut", "is_random_next", "other_doc",
                                            "target", "target_b"])
 
-    return sent_lengths.select("doc_index", "sent_no", "n_tokens").groupBy("doc_index").applyInPandas(
-        per_doc, PLAN_SCHEMA)
+    # explicit partition count: the input is small in bytes but heavy in Python work,
+    # and adaptive coalescing would otherwise fold it into very few tasks
+    spark = sent_lengths.sparkSession
+    parts = cpu_partitions(spark)
+    return (sent_lengths.select("doc_index", "sent_no", "n_tokens").repartition(parts, "doc_index")
+            .groupBy("doc_index").applyInPandas(per_doc, PLAN_SCHEMA))
 
 
-def assemble_pairs(plan: DataFrame, sentences: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
-    """F6 + chunk assembly: plan rows -> (rep, doc_index, start, is_random_next, ids_a, ids_b).
+def cpu_partitions(spark) -> int:
+    """Partitions for Python-heavy stages: at least the cluster's parallelism."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def assemble_pairs(plan: DataFrame, sentences: DataFrame, docs: DataFrame, seed: int,
+                   carry: list[str] | None = None) -> DataFrame:
+    """F6 + chunk assembly: plan rows -> (rep, doc_index, start, is_random_next, *carry, ids_a, ids_b).
 
     ``sentences``: (doc_index, sent_no, ids, n_tokens); ``docs``: (doc_index, n_sent).
     A = chunk sentences before the cut; B = the rest of the chunk, or, for a random
     next, sentences of ``other_doc`` from a random start until B reaches
     ``target_b`` tokens (at least one sentence). Sentence rows are fetched by exact
-    (document, sentence) keys, so no document is ever gathered in one place."""
+    (document, sentence) keys, so no document is ever gathered in one place; the
+    only grouping is per instance (at most two chunks of sentences)."""
     key = ["rep", "doc_index", "start"]
+    extra = ["is_random_next", *(carry or [])]
     p = plan.join(docs.select(F.col("doc_index").alias("other_doc"), F.col("n_sent").alias("other_n")), "other_doc", "left")
     p = p.withColumn(
         "rstart",
@@ -96,28 +108,30 @@ def assemble_pairs(plan: DataFrame, sentences: DataFrame, docs: DataFrame, seed:
     )
     # chunk part: A and the actual B
     chunk_last = F.when(F.col("is_random_next"), F.col("start") + F.col("cut") - 1).otherwise(F.col("end"))
-    own = p.select(*key, "cut", F.explode(F.sequence(F.col("start"), chunk_last)).alias("sent_no")).select(
-        *key, F.col("doc_index").alias("src_doc"), "sent_no",
+    own = p.select(*key, *extra, "cut", F.explode(F.sequence(F.col("start"), chunk_last)).alias("sent_no")).select(
+        *key, *extra, F.col("doc_index").alias("src_doc"), "sent_no",
         F.when(F.col("sent_no") < F.col("start") + F.col("cut"), 0).otherwise(1).alias("role"),
     )
     # random B: at most max(target_b, 1) sentences can be needed (every sentence has a token)
     rb = p.filter(F.col("is_random_next"))
     rb_last = F.least(F.col("rstart") + F.greatest(F.col("target_b"), F.lit(1)) - 1, F.col("other_n") - 1)
-    rnd = rb.select(*key, F.col("other_doc").alias("src_doc"), "target_b", "rstart",
+    rnd = rb.select(*key, *extra, F.col("other_doc").alias("src_doc"), "target_b", "rstart",
                     F.explode(F.sequence(F.col("rstart"), rb_last)).alias("sent_no"))
     s = sentences.select(F.col("doc_index").alias("src_doc"), "sent_no", "ids", "n_tokens")
     rnd = rnd.join(s, ["src_doc", "sent_no"])
     w = Window.partitionBy(*key).orderBy("sent_no").rowsBetween(Window.unboundedPreceding, -1)
     rnd = rnd.withColumn("_before", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
     rnd = rnd.filter((F.col("sent_no") == F.col("rstart")) | (F.col("_before") < F.col("target_b")))
-    rnd = rnd.select(*key, "sent_no", F.lit(1).alias("role"), "ids")
-    own = own.join(s, ["src_doc", "sent_no"]).select(*key, "sent_no", "role", "ids")
+    rnd = rnd.select(*key, *extra, "sent_no", F.lit(1).alias("role"), "ids")
+    own = own.join(s, ["src_doc", "sent_no"]).select(*key, *extra, "sent_no", "role", "ids")
     parts = own.unionByName(rnd)
-    g = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("role", "sent_no", "ids"))).alias("_p"))
+    g = parts.groupBy(*key).agg(
+        *[F.first(c).alias(c) for c in extra],
+        F.array_sort(F.collect_list(F.struct("role", "sent_no", "ids"))).alias("_p"),
+    )
     ids_a = F.flatten(F.transform(F.filter("_p", lambda x: x["role"] == 0), lambda x: x["ids"]))
     ids_b = F.flatten(F.transform(F.filter("_p", lambda x: x["role"] == 1), lambda x: x["ids"]))
-    return g.join(plan.select(*key, "is_random_next"), key).select(*key, "is_random_next", ids_a.alias("ids_a"),
-                                                                   ids_b.alias("ids_b"))
+    return g.select(*key, *extra, ids_a.alias("ids_a"), ids_b.alias("ids_b"))
 
 
 def _steps(n: Column) -> Column:

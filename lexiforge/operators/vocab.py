@@ -115,6 +115,19 @@ def vocab_words(vocab: DataFrame) -> list[str]:
     return list(seen)
 
 
+def vocab_tables(vocab: DataFrame, max_size: int = MAX_VOCAB_COLLECT) -> tuple[dict[str, int], list[str]]:
+    """One bounded collect: (piece -> id with the last id winning, distinct pieces in
+    first-seen order)."""
+    n = vocab.count()
+    if n > max_size:
+        raise ValueError(f"vocabulary of {n} rows is above the broadcast bound {max_size}")
+    rows = sorted(((r["piece"], int(r["id"])) for r in vocab.select("piece", "id").collect()), key=lambda x: x[1])
+    d: dict[str, int] = {}
+    for piece, i in rows:
+        d[piece] = i
+    return d, list(dict.fromkeys(p for p, _ in rows))
+
+
 def tokens_to_ids(col: Column, vocab: DataFrame | dict) -> Column:
     """Tokens -> ids, unknown -> 0, as an Arrow UDF over a broadcast dictionary."""
     d = vocab if isinstance(vocab, dict) else vocab_dict(vocab)

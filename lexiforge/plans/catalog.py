@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,7 +16,13 @@ ORACLES: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare(spark)
+            return fn(spark, sf_dir)
+
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -32,5 +38,13 @@ def T(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name)
 
 
-# import the query modules so they register themselves
-from . import q_corpus, q_sequences  # noqa: E402,F401
+QUERY_MODULES = ["q_corpus", "q_sequences", "q_datasets"]
+
+
+def load_all() -> tuple[dict, dict]:
+    """Import every query module (each registers its queries) and return the tables."""
+    import importlib
+
+    for m in QUERY_MODULES:
+        importlib.import_module(f"{__package__}.{m}")
+    return QUERIES, ORACLES
