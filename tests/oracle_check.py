@@ -21,7 +21,7 @@ def norm(v, digits=9):
     if v is None:
         return None
     if hasattr(v, "asDict"):
-        return tuple(norm(x, digits) for x in v)
+        return norm(v.asDict(), digits)
     if isinstance(v, dict):
         return tuple((k, norm(x, digits)) for k, x in sorted(v.items()))
     if isinstance(v, (list, tuple)):
