@@ -53,8 +53,12 @@ def walk_document(lens: np.ndarray, doc: int, reps: int, n_docs: int, seed: int,
             cut = 1 if nchunk == 1 else py_randint(1, nchunk - 1, seed, "cut", rep, doc, s)
             rand = nchunk == 1 or py_u(seed, "next", rep, doc, s) < 0.5
             if rand:
-                draws = [py_randint(0, n_docs - 1, seed, "other", rep, doc, s, k2) for k2 in range(OTHER_DRAWS)]
-                other = next((d for d in draws if d != doc), draws[-1])
+                # first of the keyed draws that is not this document, else the last draw;
+                # later draws are only computed when needed (same result as drawing all)
+                for k2 in range(OTHER_DRAWS):
+                    other = py_randint(0, n_docs - 1, seed, "other", rep, doc, s, k2)
+                    if other != doc:
+                        break
                 tb = int(T - (P[s + cut] - P[s]))
                 rows.append((rep, doc, s, end, cut, True, other, T, tb))
                 s = s + cut
@@ -66,22 +70,48 @@ def walk_document(lens: np.ndarray, doc: int, reps: int, n_docs: int, seed: int,
 
 def plan_chunks(sent_lengths: DataFrame, n_docs: int, reps: int, seed: int, max_seq_length: int,
                 short_seq_prob: float) -> DataFrame:
-    """(doc_index, sent_no, n_tokens) -> plan rows (``PLAN_SCHEMA``)."""
-    M = max_seq_length - 3
+    """(doc_index, sent_no, n_tokens) -> plan rows (``PLAN_SCHEMA``).
 
-    def per_doc(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sent_no")
-        doc = int(pdf["doc_index"].iloc[0])
-        rows = walk_document(pdf["n_tokens"].to_numpy(np.int64), doc, reps, n_docs, seed, M, short_seq_prob)
-        return pd.DataFrame(rows, columns=["rep", "doc_index", "start", "end", "cut", "is_random_next", "other_doc",
-                                           "target", "target_b"])
+    Sentence lengths are hash-partitioned by document and sorted within partitions;
+    ``mapInPandas`` then streams each partition's Arrow batches and walks every
+    document once its last sentence has arrived (a document cut by a batch edge is
+    carried to the next batch). Only lengths pass through Python."""
+    M = max_seq_length - 3
+    cols = ["rep", "doc_index", "start", "end", "cut", "is_random_next", "other_doc", "target", "target_b"]
+
+    def plan_frame(pdf: pd.DataFrame) -> pd.DataFrame:
+        docs = pdf["doc_index"].to_numpy(np.int64)
+        lens = pdf["n_tokens"].to_numpy(np.int64)
+        cuts = np.flatnonzero(np.diff(docs)) + 1
+        rows: list[tuple] = []
+        for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(docs)]])):
+            rows.extend(walk_document(lens[lo:hi], int(docs[lo]), reps, n_docs, seed, M, short_seq_prob))
+        out = pd.DataFrame(rows, columns=cols)
+        return out.astype({"other_doc": "Int64", "target_b": "Int64"})
+
+    def per_partition(batches):
+        carry = None
+        for pdf in batches:
+            if carry is not None and len(carry):
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = pdf["doc_index"].iloc[-1]
+            tail = pdf["doc_index"].to_numpy() == last
+            carry = pdf[tail]
+            done = pdf[~tail]
+            if len(done):
+                yield plan_frame(done)
+        if carry is not None and len(carry):
+            yield plan_frame(carry)
 
     # explicit partition count: the input is small in bytes but heavy in Python work,
     # and adaptive coalescing would otherwise fold it into very few tasks
     spark = sent_lengths.sparkSession
     parts = cpu_partitions(spark)
-    return (sent_lengths.select("doc_index", "sent_no", "n_tokens").repartition(parts, "doc_index")
-            .groupBy("doc_index").applyInPandas(per_doc, PLAN_SCHEMA))
+    ordered = (sent_lengths.select("doc_index", "sent_no", "n_tokens").repartition(parts, "doc_index")
+               .sortWithinPartitions("doc_index", "sent_no"))
+    return ordered.mapInPandas(per_partition, PLAN_SCHEMA)
 
 
 def cpu_partitions(spark) -> int:
@@ -154,8 +184,11 @@ def truncate_pair_random(a: str, b: str, max_num_tokens: int, seed: int, keys: l
 
     init = F.struct(F.lit(0).alias("fa"), F.lit(0).alias("ra"), F.lit(0).alias("fb"), F.lit(0).alias("rb"))
 
+    pre = rng.prefix(seed, "trunc", *keys)
+    half = F.lit(rng.hex_threshold(0.5))
+
     def step(acc, t):
-        front = rng.u(seed, "trunc", *keys, t) < 0.5
+        front = rng.hex_from_prefix(pre, t) < half
         isa = side_is_a(t)
         return F.struct(
             (acc["fa"] + F.when(isa & front, 1).otherwise(0)).alias("fa"),

@@ -10,6 +10,7 @@ from ..functions.text import decode_utf8, infer_value, translate_controls
 from ..operators import clean, documents, vocab
 from ..sources import text as src
 from . import sqlparts as S
+from ..session import cut_lineage
 from .catalog import T, register, with_ctes
 
 DELIMS = ".!?"  # the test corpus has no 。, so the sentence rule runs on these
@@ -25,7 +26,11 @@ def doc_corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.to_documents(doc_corpus(spark, sf))
+    """D1/D2 over the cleaned corpus. The cleaned corpus is written once (as the
+    cleaning pass writes its files) because document assembly reads it several times,
+    and so is the sentence table, which every later step reads."""
+    corpus = cut_lineage(doc_corpus(spark, sf))
+    return cut_lineage(documents.to_documents(corpus))
 
 
 def doc_vocab(spark: SparkSession, sf: str) -> DataFrame:

@@ -34,7 +34,7 @@ def split_table(spark, sf) -> DataFrame:
 
 
 def word_dict(spark, sf) -> dict:
-    return V.vocab_tables(V.word_vocab(cut_lineage(doc_sentences(spark, sf).select("sentence")), VOCAB_SIZE))[0]
+    return V.vocab_tables(V.word_vocab(doc_sentences(spark, sf), VOCAB_SIZE))[0]
 
 
 _LAB_SQL = """lab AS (SELECT d.doc_id, replace(replace(replace(d.text, chr(10), ''), chr(9), '　'), chr(13), '') AS text,
