@@ -276,12 +276,23 @@ def tokenize_subword(col: Column, vocab: DataFrame, lower: bool = True, max_len:
     return _tok(col)
 
 
+def _logaddexp(a: float, b: float) -> float:
+    if a == -math.inf:
+        return b
+    if b == -math.inf:
+        return a
+    if a > b:
+        return a + math.log1p(math.exp(b - a))
+    return b + math.log1p(math.exp(a - b))
+
+
 def _expected_counts(batches, scores: dict[str, float], max_len: int):
-    """E-step kernel: forward-backward over each word's piece lattice."""
+    """E-step kernel: forward-backward over each word's piece lattice (plain floats;
+    numpy scalar calls cost more than the arithmetic here)."""
+    ninf = -math.inf
     for pdf in batches:
         acc: dict[str, float] = {}
-        loglik = 0.0
-        for word, cnt in zip(pdf["word"], pdf["n"]):
+        for word, cnt in zip(pdf["word"].tolist(), pdf["n"].tolist()):
             w = WORD_START + word
             n = len(w)
             edges = []
@@ -290,23 +301,24 @@ def _expected_counts(batches, scores: dict[str, float], max_len: int):
                     sc = scores.get(w[i:i + L])
                     if sc is not None:
                         edges.append((i, i + L, sc))
-            alpha = np.full(n + 1, -np.inf)
+            alpha = [ninf] * (n + 1)
             alpha[0] = 0.0
             for i, j, sc in edges:  # edges are sorted by start
-                alpha[j] = np.logaddexp(alpha[j], alpha[i] + sc)
+                if alpha[i] != ninf:
+                    alpha[j] = _logaddexp(alpha[j], alpha[i] + sc)
             z = alpha[n]
-            if not np.isfinite(z):
+            if z == ninf:
                 continue
-            beta = np.full(n + 1, -np.inf)
+            beta = [ninf] * (n + 1)
             beta[n] = 0.0
             for i, j, sc in reversed(edges):
-                beta[i] = np.logaddexp(beta[i], beta[j] + sc)
-            loglik += cnt * z
+                if beta[j] != ninf:
+                    beta[i] = _logaddexp(beta[i], beta[j] + sc)
             for i, j, sc in edges:
-                p = math.exp(alpha[i] + sc + beta[j] - z)
-                if p > 1e-12:
+                a = alpha[i] + sc + beta[j] - z
+                if a > -27.6:  # p > 1e-12
                     key = w[i:j]
-                    acc[key] = acc.get(key, 0.0) + cnt * p
+                    acc[key] = acc.get(key, 0.0) + cnt * math.exp(a)
         if acc:
             yield pd.DataFrame({"piece": list(acc.keys()), "e": list(acc.values())})
 
@@ -331,7 +343,11 @@ def train_unigram(sentences: DataFrame, size: int = 32000, text_col: str = "sent
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    words = cut_lineage(words)
+    # explicit partition count: the word table is small in bytes but each row is
+    # Python work in every EM round, so it must not be folded into a few tasks
+    from .sequences import cpu_partitions
+
+    words = cut_lineage(words.repartition(cpu_partitions(spark), "word"))
     target = size - len(RESERVED)
     seed_size = seed_size or max(10 * target, 1000)
     cands = candidate_substrings(words, max_len)

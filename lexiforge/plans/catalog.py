@@ -38,7 +38,7 @@ def T(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name)
 
 
-QUERY_MODULES = ["q_corpus", "q_sequences", "q_datasets", "q_metrics"]
+QUERY_MODULES = ["q_corpus", "q_sequences", "q_datasets", "q_metrics", "q_train"]
 
 
 def load_all() -> tuple[dict, dict]:
