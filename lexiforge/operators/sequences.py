@@ -37,6 +37,39 @@ def target_length(seed: int, rep, doc, max_num_tokens: int, short_seq_prob: floa
     return max_num_tokens
 
 
+def _step(P: np.ndarray, base: int, n_total: int, doc: int, rep: int, T: int, s: int, n_docs: int,
+          seed: int) -> tuple[tuple, int]:
+    """One chunk of the document loop starting at sentence ``s``: its plan row and the
+    next start. ``P`` holds prefix sums of sentence lengths from sentence ``base`` on
+    and must reach at least ``T`` sentences past ``s`` (or the document end)."""
+    k = int(np.searchsorted(P, P[s - base] + T, side="left")) + base
+    end = min(max(k - 1, s), n_total - 1)
+    nchunk = end - s + 1
+    cut = 1 if nchunk == 1 else py_randint(1, nchunk - 1, seed, "cut", rep, doc, s)
+    rand = nchunk == 1 or py_u(seed, "next", rep, doc, s) < 0.5
+    if rand:
+        # first of the keyed draws that is not this document, else the last draw;
+        # later draws are only computed when needed (same result as drawing all)
+        for k2 in range(OTHER_DRAWS):
+            other = py_randint(0, n_docs - 1, seed, "other", rep, doc, s, k2)
+            if other != doc:
+                break
+        tb = int(T - (P[s + cut - base] - P[s - base]))
+        return (rep, doc, s, end, cut, True, other, T, tb), s + cut
+    return (rep, doc, s, end, cut, False, None, T, None), end + 1
+
+
+def _next_start(P, base, n_total, doc, rep, T, s, n_docs, seed) -> int:
+    """Only the successor of start ``s`` (no draws for the other document)."""
+    k = int(np.searchsorted(P, P[s - base] + T, side="left")) + base
+    end = min(max(k - 1, s), n_total - 1)
+    nchunk = end - s + 1
+    if nchunk == 1:
+        return s + 1
+    cut = py_randint(1, nchunk - 1, seed, "cut", rep, doc, s)
+    return s + cut if py_u(seed, "next", rep, doc, s) < 0.5 else end + 1
+
+
 def walk_document(lens: np.ndarray, doc: int, reps: int, n_docs: int, seed: int, max_num_tokens: int,
                   short_seq_prob: float) -> list[tuple]:
     """F1-F5, F7 for one document: the chunk starts and their choices."""
@@ -47,29 +80,18 @@ def walk_document(lens: np.ndarray, doc: int, reps: int, n_docs: int, seed: int,
         T = target_length(seed, rep, doc, max_num_tokens, short_seq_prob)
         s = 0
         while s < n:
-            k = int(np.searchsorted(P, P[s] + T, side="left"))
-            end = min(max(k - 1, s), n - 1)
-            nchunk = end - s + 1
-            cut = 1 if nchunk == 1 else py_randint(1, nchunk - 1, seed, "cut", rep, doc, s)
-            rand = nchunk == 1 or py_u(seed, "next", rep, doc, s) < 0.5
-            if rand:
-                # first of the keyed draws that is not this document, else the last draw;
-                # later draws are only computed when needed (same result as drawing all)
-                for k2 in range(OTHER_DRAWS):
-                    other = py_randint(0, n_docs - 1, seed, "other", rep, doc, s, k2)
-                    if other != doc:
-                        break
-                tb = int(T - (P[s + cut] - P[s]))
-                rows.append((rep, doc, s, end, cut, True, other, T, tb))
-                s = s + cut
-            else:
-                rows.append((rep, doc, s, end, cut, False, None, T, None))
-                s = end + 1
+            row, s = _step(P, 0, n, doc, rep, T, s, n_docs, seed)
+            rows.append(row)
     return rows
 
 
+HOT_SENTENCES = 1 << 20  # documents above this many sentences are planned block-wise
+BLOCK_SENTENCES = 1 << 16
+
+
 def plan_chunks(sent_lengths: DataFrame, n_docs: int, reps: int, seed: int, max_seq_length: int,
-                short_seq_prob: float) -> DataFrame:
+                short_seq_prob: float, hot_sentences: int = HOT_SENTENCES,
+                block_sentences: int = BLOCK_SENTENCES) -> DataFrame:
     """(doc_index, sent_no, n_tokens) -> plan rows (``PLAN_SCHEMA``).
 
     Sentence lengths are hash-partitioned by document and sorted within partitions;
@@ -109,9 +131,101 @@ def plan_chunks(sent_lengths: DataFrame, n_docs: int, reps: int, seed: int, max_
     # and adaptive coalescing would otherwise fold it into very few tasks
     spark = sent_lengths.sparkSession
     parts = cpu_partitions(spark)
-    ordered = (sent_lengths.select("doc_index", "sent_no", "n_tokens").repartition(parts, "doc_index")
+    normal = sent_lengths.filter(F.col("n_sent") <= hot_sentences)
+    ordered = (normal.select("doc_index", "sent_no", "n_tokens").repartition(parts, "doc_index")
                .sortWithinPartitions("doc_index", "sent_no"))
-    return ordered.mapInPandas(per_partition, PLAN_SCHEMA)
+    planned = ordered.mapInPandas(per_partition, PLAN_SCHEMA)
+    hot = sent_lengths.filter(F.col("n_sent") > hot_sentences)
+    return planned.unionByName(plan_hot_documents(hot, n_docs, reps, seed, M, short_seq_prob, block_sentences))
+
+
+def plan_hot_documents(hot: DataFrame, n_docs: int, reps: int, seed: int, max_num_tokens: int,
+                       short_seq_prob: float, block: int) -> DataFrame:
+    """The same plan for documents too large for one task, with no group larger than
+    one block of sentences plus an overlap of ``max_num_tokens`` sentences.
+
+    A chunk spans at most ``T <= max_num_tokens`` sentences (every sentence has a
+    token), so the walk enters block b at one of its first ``max_num_tokens``
+    sentences. (1) Per (document, block): for every possible entry, the start at
+    which the walk leaves the block (walks from different entries merge quickly and
+    are memoised). (2) Per (repeat, document): chain the exit tables block by block
+    to get the actual entry of every block (one small row per block). (3) Per
+    (document, block): walk from the actual entry and emit the chunks that start in
+    the block. The result equals the single-pass walk row for row."""
+    M = max_num_tokens
+    if block < M:
+        raise ValueError(f"block of {block} sentences is shorter than the longest chunk ({M})")
+    b = F.floor(F.col("sent_no") / block).cast("long")
+    rows = hot.select("doc_index", "sent_no", "n_tokens", "n_sent", b.alias("block"))
+    overlap = rows.filter((F.col("sent_no") % block < M) & (F.col("block") > 0)).withColumn("block", F.col("block") - 1)
+    blocks = rows.unionByName(overlap)
+
+    def window(pdf: pd.DataFrame):
+        pdf = pdf.sort_values("sent_no")
+        doc = int(pdf["doc_index"].iloc[0])
+        blk = int(pdf["block"].iloc[0])
+        n_total = int(pdf["n_sent"].iloc[0])
+        base = blk * block
+        P = np.concatenate([[0], np.cumsum(pdf["n_tokens"].to_numpy(np.int64))])
+        return doc, blk, n_total, base, P
+
+    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        doc, blk, n_total, base, P = window(pdf)
+        stop = min(base + block, n_total)
+        out = []
+        for rep in range(reps):
+            T = target_length(seed, rep, doc, M, short_seq_prob)
+            # every possible entry; one past the document end is its own exit
+            entries = [0] if blk == 0 else list(range(base, base + M))
+            memo: dict[int, int] = {}
+            ex = []
+            for e in entries:
+                path, s = [], e
+                while s < stop and s not in memo:
+                    path.append(s)
+                    s = _next_start(P, base, n_total, doc, rep, T, s, n_docs, seed)
+                final = memo.get(s, s)
+                for v in path:
+                    memo[v] = final
+                ex.append(final)
+            out.append((rep, doc, blk, ex))
+        return pd.DataFrame(out, columns=["rep", "doc_index", "block", "exits"])
+
+    ex = blocks.groupBy("doc_index", "block").applyInPandas(
+        exits, "rep int, doc_index long, block long, exits array<long>")
+
+    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        e, out = 0, []
+        rep, doc = int(pdf["rep"].iloc[0]), int(pdf["doc_index"].iloc[0])
+        for blk, table in zip(pdf["block"].tolist(), pdf["exits"].tolist()):
+            base = blk * block
+            if e >= base + block:  # (cannot happen: exits land in the next block's first rows)
+                continue
+            out.append((rep, doc, blk, e))
+            e = int(table[0] if blk == 0 else table[e - base])
+        return pd.DataFrame(out, columns=["rep", "doc_index", "block", "entry"])
+
+    entries = ex.groupBy("rep", "doc_index").applyInPandas(stitch, "rep int, doc_index long, block long, entry long")
+    ent = entries.groupBy("doc_index", "block").agg(
+        F.map_from_entries(F.collect_list(F.struct("rep", "entry"))).alias("entries"))
+
+    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
+        doc, blk, n_total, base, P = window(pdf)
+        starts = pdf["entries"].iloc[0]
+        stop = min(base + block, n_total)
+        rows_out = []
+        for rep, e in dict(starts).items():
+            T = target_length(seed, rep, doc, M, short_seq_prob)
+            s = int(e)
+            while s < stop:
+                row, s = _step(P, base, n_total, doc, int(rep), T, s, n_docs, seed)
+                rows_out.append(row)
+        out = pd.DataFrame(rows_out, columns=["rep", "doc_index", "start", "end", "cut", "is_random_next",
+                                              "other_doc", "target", "target_b"])
+        return out.astype({"other_doc": "Int64", "target_b": "Int64"})
+
+    return blocks.join(ent, ["doc_index", "block"]).groupBy("doc_index", "block").applyInPandas(emit, PLAN_SCHEMA)
 
 
 def cpu_partitions(spark) -> int:

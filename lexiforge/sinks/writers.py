@@ -26,7 +26,12 @@ def write_pretraining(df: DataFrame, spark: SparkSession, name: str = "pretraini
                   "next_sentence_labels"]:
             if c in out.columns:
                 out = out.withColumn(c, F.col(c).cast("array<bigint>"))
-    out.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(p)
+    # range-partitioned on the instance order: every task writes a contiguous slice of
+    # every shard (one shard is never funnelled through one task), and part files read
+    # in name order keep the instance order inside each shard folder
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (out.repartitionByRange(parts, "inst_index").sortWithinPartitions("inst_index")
+     .write.mode("overwrite").partitionBy("shard").parquet(p))
     return p
 
 

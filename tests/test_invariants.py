@@ -105,3 +105,23 @@ def test_pretraining_invariants_and_partition_independence(spark):
         assert k == min(20, max(1, int(np.rint(n * 0.15))))
         assert all(0 < p < n for p in r.masked_lm_positions[:k])
         assert r.input_ids[0] == 4
+
+
+def test_hot_document_path_equals_single_walk(spark):
+    """Documents planned block-wise (forced with tiny thresholds) give the same plan."""
+    from lexiforge.plans import q_corpus as Q
+    from lexiforge.plans.pretraining import PretrainingConfig, sentence_ids
+
+    sf = "/root/testdata/sf0.001"
+    sents = Q.doc_sentences(spark, sf)
+    from lexiforge.operators import vocab as V
+
+    docs, s, d, words = sentence_ids(sents, V.word_vocab(sents, 500), 12345)
+    n_docs = docs.count()
+    base = sequences.plan_chunks(s, n_docs, 3, 12345, 16, 0.3)
+    hot = sequences.plan_chunks(s, n_docs, 3, 12345, 16, 0.3, hot_sentences=20, block_sentences=13)
+    key = lambda r: tuple(r)
+    a = sorted(map(key, base.collect()))
+    b = sorted(map(key, hot.collect()))
+    assert s.filter("n_sent > 20").count() > 0
+    assert a == b
