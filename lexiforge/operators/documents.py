@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import rng
 from ..functions.indexing import dense_index_by_hash, exclusive_running_sum
 from ..functions.text import strip_unicode, ws_tokens
+from ..session import cut_lineage
 
 FILE_KEYS = ["part", "file"]
 
@@ -32,13 +33,18 @@ def to_documents(lines: DataFrame, tokenize: Callable[[Column], Column] | None =
     s = lines.withColumn("sentence", strip_unicode(F.col("line"))).withColumn(
         "_blank", (F.col("sentence") == F.lit("")).cast("long")
     )
-    w_file = Window.partitionBy(*FILE_KEYS).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    if "sub_no" not in lines.columns:  # lines split by C5 may come without renumbering
+        s = s.withColumn("sub_no", F.lit(0))
+    w_file = Window.partitionBy(*FILE_KEYS).orderBy("line_no", "sub_no").rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("_cum", F.sum("_blank").over(w_file))
+    s = s.withColumn("tokens", tokenize(F.col("sentence"))).withColumn("n_tokens", F.size("tokens")).drop("line")
+    # read twice below (per-file totals and the lines): written once so the regex work
+    # and the per-file sort are not repeated
+    s = cut_lineage(s)
     per_file = s.groupBy(*FILE_KEYS).agg(F.sum("_blank").alias("_nb"))
     offs = exclusive_running_sum(per_file, FILE_KEYS, "_nb", "_off")
     s = s.join(offs.select(*FILE_KEYS, "_off"), FILE_KEYS).withColumn("doc_key", F.col("_off") + F.col("_cum"))
-    s = s.withColumn("tokens", tokenize(F.col("sentence"))).withColumn("n_tokens", F.size("tokens"))
-    s = s.filter(F.col("n_tokens") > 0).drop("_blank", "_cum", "_off", "line")
+    s = s.filter(F.col("n_tokens") > 0).drop("_blank", "_cum", "_off")
     return number_sentences(s)
 
 
@@ -46,12 +52,12 @@ def number_sentences(s: DataFrame) -> DataFrame:
     """Dense 0-based ``sent_no`` within each document, in corpus order."""
     per = s.groupBy("doc_key", *FILE_KEYS).agg(F.count(F.lit(1)).alias("_n"))
     per = exclusive_running_sum(per, FILE_KEYS, "_n", "_foff", partition_cols=["doc_key"])
-    w = Window.partitionBy("doc_key", *FILE_KEYS).orderBy("line_no")
+    w = Window.partitionBy("doc_key", *FILE_KEYS).orderBy("line_no", "sub_no")
     return (
         s.withColumn("_rn", F.row_number().over(w))
         .join(per.select("doc_key", *FILE_KEYS, "_foff"), ["doc_key", *FILE_KEYS])
         .withColumn("sent_no", (F.col("_foff") + F.col("_rn") - 1).cast("long"))
-        .drop("_rn", "_foff")
+        .drop("_rn", "_foff", "sub_no")
     )
 
 

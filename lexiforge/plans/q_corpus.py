@@ -26,10 +26,11 @@ def doc_corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    """D1/D2 over the cleaned corpus. The cleaned corpus is written once (as the
-    cleaning pass writes its files) because document assembly reads it several times,
-    and so is the sentence table, which every later step reads."""
-    corpus = cut_lineage(doc_corpus(spark, sf))
+    """D1/D2 over the cleaned corpus (C4-C8 without the dense renumbering: document
+    assembly orders by (line_no, sub_no) itself). The sentence table is written once;
+    every later step reads it."""
+    lines = src.lines_from_table(T(spark, sf, "documents"), "doc_id", "text", doc_break=True)
+    corpus = clean.lowercase(clean.drop_leading_delim(clean.split_sentences(lines, DELIMS), DELIMS))
     return cut_lineage(documents.to_documents(corpus))
 
 
