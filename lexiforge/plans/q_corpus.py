@@ -34,8 +34,8 @@ def doc_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return cut_lineage(documents.to_documents(corpus))
 
 
-def doc_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    return vocab.word_vocab(doc_sentences(spark, sf), VOCAB_SIZE)
+def doc_vocab(spark: SparkSession, sf: str, sentences: DataFrame | None = None) -> DataFrame:
+    return vocab.word_vocab(sentences if sentences is not None else doc_sentences(spark, sf), VOCAB_SIZE)
 
 
 # --- A1 ---------------------------------------------------------------------------
@@ -255,7 +255,7 @@ _IDS_SQL = _VOCAB_SQL + [S.ids_of("sents", ["doc_key", "sent_no"], "tokens", "vo
 @register("e4_tokens_to_ids", with_ctes(_IDS_SQL, "SELECT doc_key, sent_no, ids FROM sids"))
 def e4_tokens_to_ids(spark, sf):
     s = doc_sentences(spark, sf)
-    v = doc_vocab(spark, sf)
+    v = doc_vocab(spark, sf, s)
     return s.select("doc_key", "sent_no", vocab.tokens_to_ids(F.col("tokens"), v).alias("ids"))
 
 
@@ -270,8 +270,7 @@ FROM (SELECT doc_key, sent_no, pos, ids[pos] AS i FROM (SELECT doc_key, sent_no,
 LEFT JOIN inv ON inv.id = e.i GROUP BY e.doc_key, e.sent_no"""))
 def e5_ids_to_tokens(spark, sf):
     s = doc_sentences(spark, sf)
-    v = doc_vocab(spark, sf)
-    d = vocab.vocab_dict(v)
+    d = vocab.vocab_dict(doc_vocab(spark, sf, s))
     return s.select("doc_key", "sent_no", vocab.ids_to_tokens(vocab.tokens_to_ids(F.col("tokens"), d), d).alias("tokens"))
 
 
@@ -288,7 +287,7 @@ GROUP BY doc_key, sent_no"""))
 def e7_round_trip(spark, sf):
     """Tokens -> ids -> tokens; a token survives unless it is out of the vocabulary."""
     s = doc_sentences(spark, sf)
-    d = vocab.vocab_dict(doc_vocab(spark, sf))
+    d = vocab.vocab_dict(doc_vocab(spark, sf, s))
     back = s.select("doc_key", "sent_no", "tokens", vocab.ids_to_tokens(vocab.tokens_to_ids(F.col("tokens"), d), d).alias("back"))
     diff = F.zip_with("tokens", "back", lambda a, b: F.when(a != b, 1).otherwise(0))
     return back.select(
