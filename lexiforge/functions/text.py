@@ -18,10 +18,14 @@ UNICODE_SPACE_CLASS = (
     "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 )
 STRIP_PATTERN = f"^{UNICODE_SPACE_CLASS}+|{UNICODE_SPACE_CLASS}+\\z"
+# The same characters as a plain set, for the native trim.
+UNICODE_SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                       + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 
 # Runs of ASCII white space that separate words for the plain
 # white-space tokenizer.
 WS_SPLIT = "[ \\t\\n\\r\\f]+"
+WS_CHARS = " \t\n\r\f"
 
 # Control characters of labelled article text and their replacement
 # (newline removed, tab to ideographic space, carriage return removed).
@@ -34,8 +38,10 @@ def col_of(c) -> Column:
 
 
 def strip_unicode(c) -> Column:
-    """Remove Unicode white space at both ends (plain ``trim`` keeps U+3000)."""
-    return F.regexp_replace(col_of(c), STRIP_PATTERN, "")
+    """Remove Unicode white space at both ends (plain ``trim`` keeps U+3000), as a
+    native trim over the explicit character set (a regex with an unanchored ``\\z``
+    alternative scans every position and cost 4 s of 7 at sf0.1)."""
+    return F.trim(col_of(c), F.lit(UNICODE_SPACE_CHARS))
 
 
 def rtrim_spaces(c) -> Column:
@@ -68,7 +74,9 @@ def ws_tokens(c, lower: bool = True) -> Column:
     x = col_of(c)
     if lower:
         x = F.lower(x)
-    return F.filter(F.split(x, WS_SPLIT), lambda t: t != F.lit(""))
+    # trimmed first, so the split yields no empty pieces and no lambda is needed
+    x = F.trim(x, F.lit(WS_CHARS))
+    return F.when(x == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(x, WS_SPLIT))
 
 
 def infer_value(c) -> Column:

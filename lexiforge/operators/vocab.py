@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import STRIP_PATTERN, ws_tokens
+from ..functions.text import strip_unicode, ws_tokens
 from ..session import cut_lineage
 
 # Reserved pieces ahead of the learned ones (unknown, sentence start
@@ -168,7 +168,7 @@ def parse_vocab(lines: DataFrame, id_col: str = "line_no", line_col: str = "line
     Returns every line (piece, score, id); repeated pieces resolve in lookups."""
     parts = F.split(F.col(line_col), "\t")
     return lines.select(
-        F.regexp_replace(parts[0], STRIP_PATTERN, "").alias("piece"),
+        strip_unicode(parts[0]).alias("piece"),
         F.element_at(parts, 2).cast("double").alias("score"),
         F.col(id_col).cast("int").alias("id"),
     )

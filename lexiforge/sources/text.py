@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import STRIP_PATTERN, col_of, translate_controls
+from ..functions.text import col_of, strip_unicode, translate_controls
 
 LINE_COLS = ["part", "file", "line_no", "line"]
 
@@ -86,7 +86,7 @@ def article_body(content) -> Column:
     lines, join with no separator. Lines break at \\r\\n, \\r or \\n (universal newlines)."""
     lines = F.split(col_of(content), "\r\n|\r|\n")
     body = F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0)))
-    stripped = F.transform(body, lambda s: F.regexp_replace(s, STRIP_PATTERN, ""))
+    stripped = F.transform(body, lambda s: strip_unicode(s))
     return F.array_join(F.filter(stripped, lambda s: s != F.lit("")), "")
 
 
@@ -102,7 +102,7 @@ PAIR_PATTERN = "^(.*) \\|\\|\\| (.*)$"
 def parse_pairs(lines: DataFrame, id_col: str = "line_no", line_col: str = "line") -> DataFrame:
     """Strip the line; greedy match so the last ' ||| ' splits; no match ->
     text_b null; blank lines stay as rows. unique_id = line number."""
-    s = F.regexp_replace(F.col(line_col), STRIP_PATTERN, "")
+    s = strip_unicode(F.col(line_col))
     m = s.rlike("(?s)" + PAIR_PATTERN)
     return lines.select(
         F.col(id_col).cast("long").alias("unique_id"),
