@@ -16,14 +16,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng
-from ..functions.indexing import dense_index_by_hash, exclusive_running_sum
+from ..functions.indexing import SMALL_TABLE_ROWS, dense_index_by_hash, exclusive_running_sum, ordered_running_sum
 from ..functions.text import strip_unicode, ws_tokens
 from ..session import cut_lineage
 
 FILE_KEYS = ["part", "file"]
 
 
-def to_documents(lines: DataFrame, tokenize: Callable[[Column], Column] | None = None) -> DataFrame:
+def to_documents(lines: DataFrame, tokenize: Callable[[Column], Column] | None = None,
+                 small_file_table: int = SMALL_TABLE_ROWS) -> DataFrame:
     """D1 + D2: (part, file, line_no, line) -> sentences
     (doc_key long, sent_no long, part, file, line_no, sentence, tokens, n_tokens).
 
@@ -42,7 +43,7 @@ def to_documents(lines: DataFrame, tokenize: Callable[[Column], Column] | None =
     # and the per-file sort are not repeated
     s = cut_lineage(s)
     per_file = s.groupBy(*FILE_KEYS).agg(F.sum("_blank").alias("_nb"))
-    offs = exclusive_running_sum(per_file, FILE_KEYS, "_nb", "_off")
+    offs = ordered_running_sum(per_file, FILE_KEYS, "_nb", "_off", small_rows=small_file_table)
     s = s.join(offs.select(*FILE_KEYS, "_off"), FILE_KEYS).withColumn("doc_key", F.col("_off") + F.col("_cum"))
     s = s.filter(F.col("n_tokens") > 0).drop("_blank", "_cum", "_off")
     return number_sentences(s)

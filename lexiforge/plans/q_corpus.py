@@ -313,10 +313,10 @@ def vocab_file_lines(spark, sf) -> DataFrame:
     first = ws_tokens(F.col("line"))
     with_w = lines.filter(F.size(first) > 0).withColumn("w", first[0])
     ordered = with_w.withColumn("_h", F.format_string("%020d%020d", F.col("part"), F.col("line_no")))
-    from ..functions.indexing import exclusive_running_sum
+    from ..functions.indexing import ordered_running_sum
 
     per = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    offs = exclusive_running_sum(per, ["part"], "n", "off")
+    offs = ordered_running_sum(per, ["part"], "n", "off")
     from pyspark.sql import Window
 
     w = Window.partitionBy("part").orderBy("line_no")

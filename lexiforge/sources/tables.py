@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.indexing import exclusive_running_sum
+from ..functions.indexing import ordered_running_sum
 from .text import read_lines
 
 
@@ -29,7 +29,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     order (per-file counts, a running sum over the small file table)."""
     lines = read_lines(spark, path)
     per_file = lines.groupBy("part", "file").agg(F.count(F.lit(1)).alias("_n"))
-    offs = exclusive_running_sum(per_file, ["part", "file"], "_n", "_off")
+    offs = ordered_running_sum(per_file, ["part", "file"], "_n", "_off")
     return lines.join(offs.select("part", "file", "_off"), ["part", "file"]).select(
         (F.col("_off") + F.col("line_no")).alias("line_no"), "line")
 

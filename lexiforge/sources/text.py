@@ -114,10 +114,10 @@ def parse_pairs(lines: DataFrame, id_col: str = "line_no", line_col: str = "line
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """A6 from a file (or files, in name order): unique_id = overall line number."""
     lines = read_lines(spark, path)
-    from ..functions.indexing import exclusive_running_sum
+    from ..functions.indexing import ordered_running_sum
 
     per_file = lines.groupBy("part", "file").agg(F.count(F.lit(1)).alias("n"))
-    offs = exclusive_running_sum(per_file, ["part", "file"], "n", "off")
+    offs = ordered_running_sum(per_file, ["part", "file"], "n", "off")
     numbered = lines.join(offs.select("part", "file", "off"), ["part", "file"]).withColumn(
         "uid", F.col("off") + F.col("line_no")
     )

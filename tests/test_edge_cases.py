@@ -183,3 +183,15 @@ def test_j2_padding_left_out(spark):
     r = vectors.token_vectors(df, "id", "tokens", "l", [-1]).first()
     assert [f.token for f in r.features] == ["[CLS]", "x"]
     assert r.features[1].layers[0]["values"] == [3.0, 4.0]
+
+
+def test_a2_labelled_folders_from_disk(spark, tmp_path):
+    for cat, names in {"news": ["news1.txt", "news2.txt", "other.txt"], "sport": ["sport9.txt"]}.items():
+        (tmp_path / cat).mkdir()
+        for n in names:
+            (tmp_path / cat / n).write_text(f"http://x/{n}\n2020-01-01\n  body {n} \n\nmore\t{n}\n", encoding="utf-8")
+    files = src.read_labelled_folders(spark, str(tmp_path))
+    got = sorted((r.label, r.file_name) for r in files.collect())
+    assert got == [("news", "news1.txt"), ("news", "news2.txt"), ("sport", "sport9.txt")]
+    t = {r.file_name: r.text for r in src.labelled_texts(files).collect()}
+    assert t["news1.txt"] == "body news1.txtmore　news1.txt"

@@ -125,3 +125,27 @@ def test_hot_document_path_equals_single_walk(spark):
     b = sorted(map(key, hot.collect()))
     assert s.filter("n_sent > 20").count() > 0
     assert a == b
+
+
+def test_two_level_running_sum_equals_single_window(spark):
+    from lexiforge.functions.indexing import exclusive_running_sum, ordered_running_sum
+
+    df = spark.range(5000).select((F.col("id") * 7 % 5000).alias("part"), F.lit("").alias("file"),
+                                  (F.col("id") % 13).alias("v"))
+    a = {(r.part, r.o) for r in exclusive_running_sum(df, ["part", "file"], "v", "o").collect()}
+    b = {(r.part, r.o) for r in ordered_running_sum(df, ["part", "file"], "v", "o", small_rows=100).collect()}
+    assert a == b
+
+
+def test_documents_with_two_level_offsets(spark):
+    from lexiforge.plans import q_corpus as Q
+    from lexiforge.operators import documents
+    from lexiforge.sources import text as src
+    from lexiforge.operators import clean
+
+    sf = "/root/testdata/sf0.001"
+    lines = src.lines_from_table(Q.T(spark, sf, "documents"), "doc_id", "text", doc_break=True)
+    c = clean.drop_leading_delim(clean.split_sentences(lines, ".!?"), ".!?")
+    a = {(r.doc_key, r.sent_no, r.sentence) for r in documents.to_documents(c).collect()}
+    b = {(r.doc_key, r.sent_no, r.sentence) for r in documents.to_documents(c, small_file_table=10).collect()}
+    assert a == b
