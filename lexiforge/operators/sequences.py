@@ -256,16 +256,22 @@ def assemble_pairs(plan: DataFrame, sentences: DataFrame, docs: DataFrame, seed:
         *key, *extra, F.col("doc_index").alias("src_doc"), "sent_no",
         F.when(F.col("sent_no") < F.col("start") + F.col("cut"), 0).otherwise(1).alias("role"),
     )
-    # random B: at most max(target_b, 1) sentences can be needed (every sentence has a token)
-    rb = p.filter(F.col("is_random_next"))
-    rb_last = F.least(F.col("rstart") + F.greatest(F.col("target_b"), F.lit(1)) - 1, F.col("other_n") - 1)
-    rnd = rb.select(*key, *extra, F.col("other_doc").alias("src_doc"), "target_b", "rstart",
-                    F.explode(F.sequence(F.col("rstart"), rb_last)).alias("sent_no"))
-    s = sentences.select(F.col("doc_index").alias("src_doc"), "sent_no", "ids", "n_tokens")
-    rnd = rnd.join(s, ["src_doc", "sent_no"])
-    w = Window.partitionBy(*key).orderBy("sent_no").rowsBetween(Window.unboundedPreceding, -1)
-    rnd = rnd.withColumn("_before", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
-    rnd = rnd.filter((F.col("sent_no") == F.col("rstart")) | (F.col("_before") < F.col("target_b")))
+    # random B: sentences j >= rstart of the other document with pb[j] - pb[rstart] <
+    # target_b (and always rstart). With pb bucketed by TOKEN_BUCKET tokens that range
+    # touches at most two buckets, so B is an equi-join on (document, bucket); a bucket
+    # holds at most TOKEN_BUCKET sentences whatever the document's size.
+    s = sentences.select(F.col("doc_index").alias("src_doc"), "sent_no", "ids", "n_tokens", "pb")
+    rb = p.filter(F.col("is_random_next")).select(*key, *extra, F.col("other_doc").alias("src_doc"), "target_b",
+                                                  F.col("rstart").alias("sent_no"))
+    rb = rb.join(s.select("src_doc", "sent_no", F.col("pb").alias("p0")), ["src_doc", "sent_no"]).withColumnRenamed(
+        "sent_no", "rstart")
+    lo = F.floor(F.col("p0") / TOKEN_BUCKET).cast("long")
+    hi = F.floor((F.col("p0") + F.greatest(F.col("target_b"), F.lit(1)) - 1) / TOKEN_BUCKET).cast("long")
+    rb = rb.withColumn("_bucket", F.explode(F.sequence(lo, hi)))
+    sb = s.withColumn("_bucket", F.floor(F.col("pb") / TOKEN_BUCKET).cast("long"))
+    rnd = rb.join(sb, ["src_doc", "_bucket"])
+    rnd = rnd.filter((F.col("sent_no") == F.col("rstart")) | (
+        (F.col("sent_no") > F.col("rstart")) & (F.col("pb") - F.col("p0") < F.col("target_b"))))
     rnd = rnd.select(*key, *extra, "sent_no", F.lit(1).alias("role"), "ids")
     own = own.join(s, ["src_doc", "sent_no"]).select(*key, *extra, "sent_no", "role", "ids")
     parts = own.unionByName(rnd)
@@ -278,6 +284,23 @@ def assemble_pairs(plan: DataFrame, sentences: DataFrame, docs: DataFrame, seed:
     return g.select(*key, *extra, ids_a.alias("ids_a"), ids_b.alias("ids_b"))
 
 
+TOKEN_BUCKET = 128  # >= the longest chunk target, so B spans at most two buckets
+
+
+def with_prefix(sentences: DataFrame, block: int = BLOCK_SENTENCES) -> DataFrame:
+    """Add ``pb`` = tokens of the document before each sentence. Two-level so no
+    document is one window partition: block totals (one row per block of sentences),
+    a running sum over a document's blocks, and a running sum inside each block."""
+    b = sentences.withColumn("_blk", F.floor(F.col("sent_no") / block).cast("long"))
+    tot = b.groupBy("doc_index", "_blk").agg(F.sum("n_tokens").alias("_bt"))
+    w_b = Window.partitionBy("doc_index").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    boff = tot.select("doc_index", "_blk", F.coalesce(F.sum("_bt").over(w_b), F.lit(0)).alias("_boff"))
+    w_in = Window.partitionBy("doc_index", "_blk").orderBy("sent_no").rowsBetween(Window.unboundedPreceding, -1)
+    inner = b.withColumn("_in", F.coalesce(F.sum("n_tokens").over(w_in), F.lit(0)))
+    return inner.join(boff, ["doc_index", "_blk"]).withColumn("pb", (F.col("_boff") + F.col("_in")).cast("long")).drop(
+        "_blk", "_boff", "_in")
+
+
 def _steps(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
