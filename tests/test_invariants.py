@@ -149,3 +149,18 @@ def test_documents_with_two_level_offsets(spark):
     a = {(r.doc_key, r.sent_no, r.sentence) for r in documents.to_documents(c).collect()}
     b = {(r.doc_key, r.sent_no, r.sentence) for r in documents.to_documents(c, small_file_table=10).collect()}
     assert a == b
+
+
+def test_row_local_sentences_equal_generic(spark):
+    """The per-row path for one-text-per-row tables gives the generic rows exactly,
+    through its prefix-count branch and its window branch."""
+    from lexiforge.plans import q_corpus as Q
+    from lexiforge.operators import documents
+
+    sf = "/root/testdata/sf0.001"
+    d = Q.T(spark, sf, "documents")
+    key = lambda r: (r.doc_key, r.sent_no, r.sentence, tuple(r.tokens), r.n_tokens)
+    a = sorted(map(key, Q.doc_sentences(spark, sf).collect()))
+    for ml in (4096, 5):
+        b = sorted(map(key, documents.sentences_from_texts(d, "doc_id", "text", ".!?", max_lines=ml).collect()))
+        assert a == b
