@@ -21,11 +21,10 @@ MAX_LABELS = 100_000  # a label list above this is not broadcast
 
 def categories(df: DataFrame, label_col: str = "label") -> DataFrame:
     """G1: sorted distinct labels with their position (label, label_id)."""
+    from .vocab import bounded_collect
+
     labels = df.select(F.col(label_col).alias("label")).distinct()
-    n = labels.count()
-    if n > MAX_LABELS:
-        raise ValueError(f"{n} labels is above the bound {MAX_LABELS}")
-    rows = sorted(r["label"] for r in labels.collect())
+    rows = sorted(r["label"] for r in bounded_collect(labels, MAX_LABELS))
     spark = df.sparkSession
     return spark.createDataFrame([(lab, i) for i, lab in enumerate(rows)], "label string, label_id int")
 

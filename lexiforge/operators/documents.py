@@ -153,7 +153,9 @@ def sentences_from_texts(df: DataFrame, key_col: str, text_col: str, delims: str
     big = big.select("part", F.col("line_no").cast("long").alias("line_no"), F.col("_z.sentence").alias("sentence"),
                      F.col("_z.tokens").alias("tokens"), "_cum", "sent_no")
 
-    out = small.unionByName(big).join(F.broadcast(offs) if offs.isStreaming is False else offs, "part")
+    # one row per text: grows with the data, so the join strategy is left to Spark's
+    # size-checked choice (broadcast only under the threshold)
+    out = small.unionByName(big).join(offs, "part")
     return out.select(
         (F.col("_off") + F.col("_cum")).cast("long").alias("doc_key"), "sent_no", "part",
         F.lit("").alias("file"), "line_no", "sentence", "tokens", F.size("tokens").alias("n_tokens"),

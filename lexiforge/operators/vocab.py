@@ -95,13 +95,18 @@ def word_vocab(sentences: DataFrame, size: int, text_col: str = "sentence") -> D
 
 # --- dictionaries ------------------------------------------------------------------
 
+def bounded_collect(df: DataFrame, max_rows: int) -> list:
+    """Rows of a table that must be small, in one job: more than ``max_rows`` is an error."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"table above the collect bound of {max_rows} rows")
+    return rows
+
+
 def vocab_dict(vocab: DataFrame, max_size: int = MAX_VOCAB_COLLECT) -> dict[str, int]:
     """piece -> id, the last id winning for a repeated piece (E6 counterpart)."""
-    n = vocab.count()
-    if n > max_size:
-        raise ValueError(f"vocabulary of {n} rows is above the broadcast bound {max_size}")
     d: dict[str, int] = {}
-    for piece, i in sorted(((r["piece"], int(r["id"])) for r in vocab.select("piece", "id").collect()),
+    for piece, i in sorted(((r["piece"], int(r["id"])) for r in bounded_collect(vocab.select("piece", "id"), max_size)),
                            key=lambda x: x[1]):
         d[piece] = i
     return d
@@ -118,10 +123,8 @@ def vocab_words(vocab: DataFrame) -> list[str]:
 def vocab_tables(vocab: DataFrame, max_size: int = MAX_VOCAB_COLLECT) -> tuple[dict[str, int], list[str]]:
     """One bounded collect: (piece -> id with the last id winning, distinct pieces in
     first-seen order)."""
-    n = vocab.count()
-    if n > max_size:
-        raise ValueError(f"vocabulary of {n} rows is above the broadcast bound {max_size}")
-    rows = sorted(((r["piece"], int(r["id"])) for r in vocab.select("piece", "id").collect()), key=lambda x: x[1])
+    rows = sorted(((r["piece"], int(r["id"])) for r in bounded_collect(vocab.select("piece", "id"), max_size)),
+                  key=lambda x: x[1])
     d: dict[str, int] = {}
     for piece, i in rows:
         d[piece] = i
