@@ -285,35 +285,32 @@ def _steps(n: Column) -> Column:
 def truncate_pair_random(a: str, b: str, max_num_tokens: int, seed: int, keys: list[Column]) -> tuple[Column, Column]:
     """F8: while too long, drop one token of the longer list (B on a tie), from the
     front or the back with probability 1/2 each; the draw of step t is keyed by t.
-    Which list loses a token at step t has a closed form, so the loop is an
-    ``aggregate`` over the steps counting front removals per side."""
+    Which list loses a token at step t has a closed form (after |la-lb| steps on the
+    longer list the two alternate), so the removals per side are counted directly and
+    one pass over the steps sums the front removals of both sides."""
     la, lb = F.size(a), F.size(b)
     steps = F.greatest(la + lb - F.lit(max_num_tokens), F.lit(0))
     a_first = la > lb
     d = F.when(a_first, la - lb).otherwise(lb - la + 1)
+    extra = F.greatest(steps - d, F.lit(0))
+    ra = F.when(a_first, F.least(steps, d) + F.floor(extra / 2)).otherwise(F.floor((extra + 1) / 2)).cast("int")
+    rb = steps - ra
 
     def side_is_a(t):
         alt = (t - d) % 2
         return F.when(t < d, a_first).otherwise(F.when(a_first, alt == 1).otherwise(alt == 0))
 
-    init = F.struct(F.lit(0).alias("fa"), F.lit(0).alias("ra"), F.lit(0).alias("fb"), F.lit(0).alias("rb"))
-
     pre = rng.prefix(seed, "trunc", *keys)
     half = F.lit(rng.hex_threshold(0.5))
-
-    def step(acc, t):
-        front = rng.hex_from_prefix(pre, t) < half
-        isa = side_is_a(t)
-        return F.struct(
-            (acc["fa"] + F.when(isa & front, 1).otherwise(0)).alias("fa"),
-            (acc["ra"] + F.when(isa, 1).otherwise(0)).alias("ra"),
-            (acc["fb"] + F.when(~isa & front, 1).otherwise(0)).alias("fb"),
-            (acc["rb"] + F.when(~isa, 1).otherwise(0)).alias("rb"),
-        )
-
-    r = F.aggregate(_steps(steps), init, step)
-    new_a = F.slice(F.col(a), r["fa"] + 1, la - r["ra"])
-    new_b = F.slice(F.col(b), r["fb"] + 1, lb - r["rb"])
+    base = F.lit(1 << 32)  # front removals of A in the low 32 bits, of B above
+    code = F.transform(_steps(steps), lambda t: F.when(
+        rng.hex_from_prefix(pre, t) < half, F.when(side_is_a(t), F.lit(1).cast("long")).otherwise(base)
+    ).otherwise(F.lit(0).cast("long")))
+    tot = F.aggregate(code, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    fa = (tot % base).cast("int")
+    fb = F.floor(tot / base).cast("int")
+    new_a = F.slice(F.col(a), fa + 1, la - ra)
+    new_b = F.slice(F.col(b), fb + 1, lb - rb)
     return new_a, new_b
 
 
