@@ -195,3 +195,22 @@ def test_a2_labelled_folders_from_disk(spark, tmp_path):
     assert got == [("news", "news1.txt"), ("news", "news2.txt"), ("sport", "sport9.txt")]
     t = {r.file_name: r.text for r in src.labelled_texts(files).collect()}
     assert t["news1.txt"] == "body news1.txtmore　news1.txt"
+
+
+def test_b1_shards_round_robin_and_order(spark):
+    from lexiforge.sinks import writers
+
+    df = spark.range(103).select(F.col("id").alias("inst_index"), (F.col("id") % 4).cast("int").alias("shard"),
+                                 F.array(F.col("id").cast("int")).alias("input_ids"))
+    path = writers.write_pretraining(df, spark, "shards-test")
+    back = spark.read.parquet(path)
+    assert dict(back.groupBy("shard").count().collect()) == {0: 26, 1: 26, 2: 26, 3: 25}
+    assert dict(back.dtypes)["input_ids"] == "array<bigint>"
+    one = spark.read.parquet(f"{path}/shard=1").withColumn("_f", F.input_file_name())
+    rows = [r.inst_index for r in one.collect()]
+    assert sorted(rows) == list(range(1, 103, 4))
+    files = sorted({r._f for r in one.collect()})
+    in_order = []
+    for f in files:
+        in_order += [r.inst_index for r in spark.read.parquet(f).collect()]
+    assert in_order == sorted(in_order)
