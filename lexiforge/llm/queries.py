@@ -36,7 +36,30 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-from . import pack_bestfit, pareto_mix, simhash_trie  # noqa: E402
+from . import ctph, langid_gru, pack_bestfit, pareto_mix, simhash_trie, toxicity  # noqa: E402
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    docs, labels = read_docs(spark, sf_dir), read_docs(spark, sf_dir, "labels")
+    held = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.fit(docs.where(~held), labels.where(~held))
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query("op6_language_id")
+def op6_language_id(spark, sf_dir):
+    docs = read_docs(spark, sf_dir)
+    held = langid_gru.held_out(F.col("doc_id"))
+    net = langid_gru.fit(docs.where(~held).select("text", "lang"))
+    out = langid_gru.predict(docs.select("doc_id", "text"), net)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_ctph_fingerprint")
+def op8_ctph_fingerprint(spark, sf_dir):
+    return ctph.compare_successors(read_docs(spark, sf_dir))
 
 
 @query("op5_pareto_mix", pareto_mix.oracle())
