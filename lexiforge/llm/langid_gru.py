@@ -264,11 +264,18 @@ def sample_windows(labelled: DataFrame, s: Settings) -> tuple[list[bytes], list[
         raise ValueError(f"more than {s.max_languages} labels in lang")
     if not counts:
         return [], []
-    # A draw of twice the bound from each language first, so that only that much is ranked.
-    rate = F.element_at(F.create_map(*[c for r in counts for c in (F.lit(r["lang"]), F.lit(2.0 * s.per_language / r["n"]))]), F.col("lang"))
-    h = F.xxhash64(F.lit(s.seed), "text")
+    # A draw of about twice the bound from each language first (several windows of a text where
+    # texts are few), so that only that much is ranked.
+    many = {r["lang"]: min(64, -(-2 * s.per_language // r["n"])) for r in counts}
+    share = {r["lang"]: 2.0 * s.per_language / (r["n"] * many[r["lang"]]) for r in counts}
+
+    def by_lang(d):
+        return F.element_at(F.create_map(*[c for k, v in d.items() for c in (F.lit(k), F.lit(v))]), F.col("lang"))
+
+    x = x.withColumn("_i", F.explode(F.sequence(F.lit(1), by_lang(many))))
+    h = F.xxhash64(F.lit(s.seed), "_i", "text")
     unit = F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(2**53))
-    x = x.withColumn("_h", h).where(unit < rate)
+    x = x.withColumn("_h", h).where(unit < by_lang(share))
     at = F.pmod(F.xxhash64("_h"), F.greatest(F.char_length("text") - s.train_window + 1, F.lit(1))).cast("int") + 1
     x = x.select("lang", "_h", F.substring("text", at, F.lit(s.train_window)).alias("w"))
     x = x.withColumn("_r", F.row_number().over(W.partitionBy("lang").orderBy("_h", "w"))).where(F.col("_r") <= s.per_language)

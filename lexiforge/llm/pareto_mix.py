@@ -11,13 +11,13 @@ Ranks are never computed in one task: running sums go over nested ranges of the
 (``common.running_sums``), so a source that holds a third of all rows is spread.
 
 Defined results: null text has size 0; a null source is a source of its own, placed last;
-a source of size 0 takes nothing; repeated rows have equal rank and are ordered arbitrarily
-among themselves, which changes no row's content; an empty table gives an empty table.
+a source of size 0 takes nothing; rows that share id, source, size (and weight) are one draw
+and get the same number of copies; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -57,42 +57,66 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_c
     return x.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = SEED,
-        weight: str | None = None) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) per row of ``docs`` (doc_id, text,
+def word_count(text: str = "text") -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def draws(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = SEED,
+          weight: str | None = None) -> DataFrame:
+    """(doc_id, source, size, own, n, source_size, target, copies), a row for each distinct
+    (doc_id, source, size, own), which stands for ``n`` rows of ``docs`` (doc_id, text,
     source[, weight])."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     own = F.lit(1.0) if weight is None else F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
-    sized = cut_lineage(docs.select("doc_id", "source", size.alias("size"), own.alias("own")))
-    targets = source_targets(sized, weights, max_copies)
-    scale = sized.groupBy("source").agg(F.sum(F.col("own") * F.col("size")).alias("own_size"))
+    sized = docs.select("doc_id", "source", word_count().alias("size"), own.alias("own"))
+    sized = cut_lineage(sized.groupBy("doc_id", "source", "size", "own").agg(F.count("*").alias("n")))
+    sized = sized.withColumn("all", F.col("n") * F.col("size"))
+    targets = source_targets(sized.select("source", F.col("all").alias("size")), weights, max_copies)
+    scale = sized.groupBy("source").agg(F.sum(F.col("own") * F.col("all")).alias("own_size"))
     targets = targets.alias("a").join(scale.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.own_size")
     targets = cut_lineage(targets)
     x = sized.alias("l").join(targets.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select(
         "l.*", "r.source_size", "r.target", "r.own_size")
     expected = F.when(F.col("own_size") > 0, F.least(F.col("target") * F.col("own") / F.col("own_size"), F.lit(float(max_copies)))).otherwise(F.lit(0.0))
     x = x.withColumn("whole", F.floor(expected).cast("long")).withColumn("p", expected - F.floor(expected))
-    u = keyed_unit(seed, "pareto", F.col("doc_id"))
     odds = (F.col("u") * (1 - F.col("p"))) / ((1 - F.col("u")) * F.col("p"))
     # q / (1 + q) keeps the order of the odds and lies in [0, 1); p = 0 ranks last.
-    x = x.withColumn("u", u).withColumn("rank", F.when(F.col("p") > 0, odds / (1 + odds)).otherwise(F.lit(1.0)))
-    x = x.withColumn("certain", F.col("whole") * F.col("size"))
-    x = cut_lineage(x)
+    x = x.withColumn("u", keyed_unit(seed, "pareto", F.col("doc_id")))
+    x = x.withColumn("rank", F.when(F.col("p") > 0, odds / (1 + odds)).otherwise(F.lit(1.0)))
+    x = cut_lineage(x.withColumn("certain", F.col("whole") * F.col("all")))
     certain = x.groupBy("source").agg(F.sum("certain").alias("certain_size"))
-    x = running_sums(x, ["source"], "rank", ["doc_id", "size"], "size", "before")
+    x = running_sums(x, ["source"], "rank", ["doc_id", "size", "own"], "all", "before")
     x = x.alias("l").join(certain.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select("l.*", "r.certain_size")
-    more = (F.col("p") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("target") - F.col("certain_size"))
-    x = x.withColumn("copies", F.col("whole") + more.cast("long"))
-    return x.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    more = (F.col("p") > 0) & (F.col("before") + F.col("all") / 2 <= F.col("target") - F.col("certain_size"))
+    return x.select("doc_id", "source", "size", "own", "n", "source_size", "target", (F.col("whole") + more.cast("long")).alias("copies"))
+
+
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) per row of ``docs``."""
+    x = draws(docs, **settings).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return x.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs``, each as many times as the mix takes it (its own columns only)."""
+    weight = settings.get("weight")
+    drawn = draws(docs, **settings)
+    x = docs.withColumn("_size", word_count())
+    own = F.lit(1.0) if weight is None else F.greatest(F.coalesce(F.col(f"l.{weight}").cast("double"), F.lit(0.0)), F.lit(0.0))
+    hit = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l.source").eqNullSafe(F.col("r.source")) \
+        & (F.col("l._size") == F.col("r.size")) & (own == F.col("r.own"))
+    x = x.alias("l").join(drawn.where("copies > 0").alias("r"), hit).select("l.*", F.col("r.copies").alias("_copies"))
+    x = x.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return x.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle() -> str:
     """DuckDB SQL for ``mix`` with equal weights inside a source."""
     w = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(WEIGHTS))
     return f"""
-WITH sized AS (
+WITH rows_ AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
-per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+sized AS (SELECT doc_id, source, size, count(*) AS n FROM rows_ GROUP BY ALL),
+per AS (SELECT source, CAST(sum(n * size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT *, CAST(CASE CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(WEIGHTS)} AS INTEGER) {w} END AS DOUBLE) AS w,
     CAST(source_size * {MAX_COPIES} AS DOUBLE) AS cap FROM per),
@@ -104,14 +128,14 @@ levels AS (
 final AS (SELECT level AS f FROM levels WHERE level * w <= cap ORDER BY rn LIMIT 1),
 targets AS (SELECT source, source_size, coalesce(least(cap, (SELECT f FROM final) * w), cap) AS target FROM levels),
 rated AS (
-  SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
+  SELECT s.doc_id, s.source, s.size, s.n, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, {float(MAX_COPIES)}) ELSE 0.0 END AS e,
     {sql_keyed_unit(SEED, 'pareto', 's.doc_id')} AS u
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 ranked AS (
   SELECT *, CAST(floor(e) AS BIGINT) AS whole, e - floor(e) AS p,
-    coalesce(sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM rated)
 SELECT doc_id, size, source_size, target,
-  CAST(size * (whole + CASE WHEN p > 0 AND before + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM ranked"""
+  CAST(size * (whole + CASE WHEN p > 0 AND before + n * size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM ranked, generate_series(1, n) AS g(i)"""

@@ -36,7 +36,34 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-from . import ctph, langid_gru, pack_bestfit, pareto_mix, simhash_trie, toxicity  # noqa: E402
+from . import chain_dedup, ctph, embed_lsh, langid_gru, pack_bestfit, pareto_mix, simhash_trie  # noqa: E402
+from . import toxicity, url_templates, warc_revisit  # noqa: E402
+
+
+@query("op1_url_templates")
+def op1_url_templates(spark, sf_dir):
+    """A page's label is that of the document that it shows, which is the last number of its
+    path: good if of quality and not toxic."""
+    labels = read_docs(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(
+        F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
+    pages = read_docs(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract(url_templates.split_url(F.col("url"))[1], r"/(\d{1,18})(\.\w+)?/*$", 1)
+    pages = pages.withColumn("shown", F.when(number != "", number.cast("long")))
+    urls = pages.join(labels, pages.shown == labels.doc_id, "left").select("page_id", "url", "good")
+    return url_templates.filter_urls(urls)
+
+
+@query("op3_revisit_resolution", warc_revisit.oracle())
+def op3_revisit_resolution(spark, sf_dir):
+    out = warc_revisit.resolve(warc_revisit.records_of_pages(read_docs(spark, sf_dir, "pages")))
+    h = F.col("headers")
+    return out.withColumns({"etag": h["etag"], "last_modified": h["last-modified"], "content_type": h["content-type"],
+                            "date": h["date"]}).drop("headers")
+
+
+@query("op4_embedding_lsh")
+def op4_embedding_lsh(spark, sf_dir):
+    return embed_lsh.near_duplicates(read_docs(spark, sf_dir, "embeddings"))
 
 
 @query("op2_toxicity")
@@ -77,3 +104,9 @@ def op7_bestfit_packing(spark, sf_dir):
 def op9_simhash_trie(spark, sf_dir):
     out = simhash_trie.simhash_components(read_docs(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op10_chained_passages")
+def op10_chained_passages(spark, sf_dir):
+    out = chain_dedup.passages(read_docs(spark, sf_dir).select("doc_id", "text"))
+    return out.drop("text_hash")
