@@ -173,31 +173,25 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
         while left:
             room = tree.find(length)
             if room is None:
-                # New bins take as many pieces of this length as fit before another opens.
-                per = capacity // length
-                full, rest = divmod(left, per)
-                if full:
-                    for j in range(per):
-                        out.append((length, rank, full, bins, j * length))
-                        rank += full
-                    if capacity - per * length:
-                        tree.push(capacity - per * length, bins, full)
-                    bins += full
-                if rest:
-                    for j in range(rest):
-                        out.append((length, rank, 1, bins, j * length))
-                        rank += 1
-                    tree.push(capacity - rest * length, bins, 1)
-                    bins += 1
-                break
-            first, count = tree.pop(room)
-            take = min(count, left)
-            out.append((length, rank, take, first, capacity - room))
-            if room - length:
-                tree.push(room - length, first, take)
-            if take < count:
-                tree.push(room, first + take, count - take)
-            rank, left = rank + take, left - take
+                room, first, count = capacity, bins, left
+            else:
+                first, count = tree.pop(room)
+            # A bin that took one piece and has room for another is the tightest then: bins
+            # fill up with this length one after the other, the last one perhaps in part.
+            per = room // length
+            full = min(count, left // per)
+            rest = left - full * per if full < count else 0
+            for k, n, at in ((per, full, first), (min(rest, per), 1, first + full)):
+                for j in range(k if n else 0):
+                    out.append((length, rank, n, at, capacity - room + j * length))
+                    rank, left = rank + n, left - n
+                if k and n and room - k * length:
+                    tree.push(room - k * length, at, n)
+            used = full + (rest > 0)
+            if first == bins and room == capacity:
+                bins += used
+            elif used < count:
+                tree.push(room, first + used, count - used)
     return out
 
 

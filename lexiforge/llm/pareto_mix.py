@@ -100,13 +100,12 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, each as many times as the mix takes it (its own columns only)."""
     weight = settings.get("weight")
     drawn = draws(docs, **settings)
-    x = docs.withColumn("_size", word_count())
-    own = F.lit(1.0) if weight is None else F.greatest(F.coalesce(F.col(f"l.{weight}").cast("double"), F.lit(0.0)), F.lit(0.0))
+    own = F.lit(1.0) if weight is None else F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
+    x = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", word_count().alias("size"), own.alias("own"))
     hit = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l.source").eqNullSafe(F.col("r.source")) \
-        & (F.col("l._size") == F.col("r.size")) & (own == F.col("r.own"))
-    x = x.alias("l").join(drawn.where("copies > 0").alias("r"), hit).select("l.*", F.col("r.copies").alias("_copies"))
-    x = x.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return x.select(*[F.col(f"`{c}`") for c in docs.columns])
+        & (F.col("l.size") == F.col("r.size")) & (F.col("l.own") == F.col("r.own"))
+    x = x.alias("l").join(drawn.where("copies > 0").alias("r"), hit).select("l.row", "r.copies")
+    return x.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def oracle() -> str:
