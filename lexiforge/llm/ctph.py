@@ -55,7 +55,7 @@ def _rolling(data: np.ndarray) -> np.ndarray:
 def _signature(raw: np.ndarray, sizes: tuple[int, ...]) -> list[str]:
     """One signature per block size (powers of two)."""
     sums: list[list[np.ndarray]] = [[] for _ in sizes]
-    open_ = [np.uint32(0) for _ in sizes]
+    open_ = [np.zeros(1, np.uint32) for _ in sizes]
     some = [False for _ in sizes]
     padded = np.concatenate([np.zeros(WINDOW - 1, np.uint8), raw])
     for at in range(0, len(raw), STEP):
@@ -64,16 +64,16 @@ def _signature(raw: np.ndarray, sizes: tuple[int, ...]) -> list[str]:
         for k, size in enumerate(sizes):
             ends = np.flatnonzero((h & np.uint32(size - 1)) == size - 1) + 1
             total = np.add.reduceat(part, np.concatenate([[0], ends[ends < len(h)]]), dtype=np.uint32)
-            total[0] += open_[k]
+            total[:1] += open_[k]
             if len(ends) and ends[-1] == len(h):
                 sums[k].append(total)
-                open_[k], some[k] = np.uint32(0), False
+                open_[k], some[k] = np.zeros(1, np.uint32), False
             else:
                 sums[k].append(total[:-1])
-                open_[k], some[k] = total[-1], True
+                open_[k], some[k] = total[-1:], True
     out = []
     for k in range(len(sizes)):
-        v = np.concatenate(sums[k] + [np.array([open_[k]] if some[k] else [], np.uint32)])
+        v = np.concatenate(sums[k] + [open_[k]] * some[k])
         v = (v ^ (v >> np.uint32(16))) * np.uint32(0x7FEB352D)
         out.append(ALPHABET[v >> np.uint32(26)].tobytes().decode("ascii"))
     return out
