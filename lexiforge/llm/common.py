@@ -92,7 +92,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def running_sums(df: DataFrame, group: list[str], unit: str, order: list[str], value: str, out: str,
-                 per_bucket: int = 2000) -> DataFrame:
+                 per_bucket: int = 512) -> DataFrame:
     """Exclusive running sum of ``value`` (long) within ``group`` in the order (``unit``,
     ``order``), with no task that holds a whole group.
 
