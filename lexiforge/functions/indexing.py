@@ -49,23 +49,14 @@ def exclusive_running_sum(df: DataFrame, order_cols: list[str], value_col: str,
     return df.withColumn(out, F.coalesce(F.sum(value_col).over(w), F.lit(0)).cast("long"))
 
 
-SMALL_TABLE_ROWS = 1_000_000
-
-
-def ordered_running_sum(df: DataFrame, order_cols: list[str], value_col: str, out: str,
-                        small_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
+def ordered_running_sum(df: DataFrame, order_cols: list[str], value_col: str, out: str) -> DataFrame:
     """Exclusive running sum over the whole table in ``order_cols`` order without a
-    single-partition window when the table is large: the table is range-partitioned
-    on the order, materialised (so the partition of each row is fixed), each
-    partition's total comes from a one-row-per-partition table, and the running sum
-    inside a partition is a window over that partition only. Small tables take the
-    single window directly."""
-    n = df.count()
-    if n <= small_rows:
-        return exclusive_running_sum(df, order_cols, value_col, out)
+    single-partition window: the table is range-partitioned on the order, written (so the
+    partition of each row is fixed), each partition's total comes from a one-row-per-partition
+    table, and the running sum inside a partition is a window over that partition only."""
     from ..session import cut_lineage
 
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // small_rows))
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     r = cut_lineage(df.repartitionByRange(parts, *order_cols).withColumn("_pid", F.spark_partition_id()))
     tot = r.groupBy("_pid").agg(F.sum(value_col).alias("_t"))
     w_p = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition

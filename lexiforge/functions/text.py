@@ -46,12 +46,12 @@ def strip_unicode(c) -> Column:
 
 def rtrim_spaces(c) -> Column:
     """C4: remove trailing ASCII spaces only."""
-    return F.regexp_replace(col_of(c), " +\\z", "")
+    return F.rtrim(col_of(c))
 
 
 def ltrim_spaces(c) -> Column:
     """Remove leading ASCII spaces only."""
-    return F.regexp_replace(col_of(c), "^ +", "")
+    return F.ltrim(col_of(c))
 
 
 def translate_controls(c) -> Column:

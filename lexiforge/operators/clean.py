@@ -15,30 +15,26 @@ from ..functions.text import ltrim_spaces, rtrim_spaces, sentence_break
 FILE_KEYS = ["part", "file"]
 
 
-def drop_blank(lines: DataFrame) -> DataFrame:
-    """Drop lines that are exactly empty (lines of spaces stay)."""
-    return lines.filter(F.col("line") != F.lit(""))
-
-
 def doc_header_flags(lines: DataFrame) -> DataFrame:
-    """C2 marks: a line holding ``<doc id`` opens a two-line range (itself and the next
-    physical line). A ``<doc id`` line inside an open range does not open another, so
-    in a run of such lines every second one opens. Computed on physical lines, i.e.
-    before C1 drops anything."""
+    """C2 marks on lines that C1 has left: a line holding ``<doc id`` opens a two-line range
+    (itself and the next line that is not empty, the title). A ``<doc id`` line inside an open
+    range does not open another, so in a run of such lines every second one opens."""
     w = Window.partitionBy(*FILE_KEYS).orderBy("line_no")
     has = F.col("line").contains("<doc id")
-    last_other = F.max(F.when(~has, F.col("line_no"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    pos_in_run = F.col("line_no") - F.coalesce(last_other, F.lit(-1)) - 1
-    opener = has & (pos_in_run % 2 == 0)
-    flagged = lines.withColumn("_open", opener)
+    numbered = lines.withColumn("_i", F.row_number().over(w))
+    last_other = F.max(F.when(~has, F.col("_i"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    opener = has & ((F.col("_i") - F.coalesce(last_other, F.lit(0)) - 1) % 2 == 0)
+    flagged = numbered.withColumn("_open", opener)
     return flagged.withColumn(
         "_in_header", F.col("_open") | F.coalesce(F.lag("_open").over(w), F.lit(False))
-    ).drop("_open")
+    ).drop("_open", "_i")
 
 
 def drop_doc_header(lines: DataFrame) -> DataFrame:
-    """Drop each ``<doc id`` line and the following physical line (the title)."""
-    return doc_header_flags(lines).filter(~F.col("_in_header")).drop("_in_header")
+    """C1 + C2: drop empty lines (lines of spaces stay), then each ``<doc id`` line and the
+    line that follows it (the title). Empty lines go first, so the title is found past them."""
+    kept = lines.filter(F.col("line") != F.lit(""))
+    return doc_header_flags(kept).filter(~F.col("_in_header")).drop("_in_header")
 
 
 def mark_doc_end(lines: DataFrame) -> DataFrame:
@@ -47,11 +43,9 @@ def mark_doc_end(lines: DataFrame) -> DataFrame:
 
 
 def first_pass(lines: DataFrame) -> DataFrame:
-    """C1-C3 as the first in-place pass does them: per line, an empty line is
-    deleted, then the header range, then ``</doc>`` is removed."""
-    flagged = doc_header_flags(lines)
-    kept = flagged.filter((F.col("line") != F.lit("")) & ~F.col("_in_header")).drop("_in_header")
-    return mark_doc_end(kept)
+    """C1-C3 as the first in-place pass does them: empty lines are deleted, then the
+    header ranges, then ``</doc>`` is removed."""
+    return mark_doc_end(drop_doc_header(lines))
 
 
 def split_sentences(lines: DataFrame, delims: str = "。", closers: str = "」|)）\"") -> DataFrame:
@@ -97,10 +91,12 @@ def preview(df: DataFrame, order_cols: list[str], n: int = 5) -> DataFrame:
 
 
 def check_seq_len(df: DataFrame, cols: list[str], n: int, max_len: int = 512) -> DataFrame:
-    """C14: every feature array has length ``n`` and ``n`` is at most ``max_len``."""
+    """C14: every feature array has length ``n`` and ``n`` is at most ``max_len``. The check
+    is part of the returned columns, so a plan that uses one of them cannot drop it."""
     if n > max_len:
         raise ValueError(f"sequence length {n} is above the maximum {max_len}")
-    cond = F.lit(True)
+    checked = {}
     for c in cols:
-        cond = cond & (F.size(c) == n)
-    return df.withColumn("_ok", F.assert_true(cond, F.lit(f"feature length is not {n}"))).drop("_ok")
+        wrong = F.raise_error(F.concat(F.lit(f"{c} has not length {n} but "), F.coalesce(F.size(c), F.lit(-1)).cast("string")))
+        checked[c] = F.when(F.size(c) == n, F.col(c)).otherwise(wrong.cast(df.schema[c].dataType))
+    return df.withColumns(checked)

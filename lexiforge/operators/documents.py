@@ -16,15 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng
-from ..functions.indexing import SMALL_TABLE_ROWS, dense_index_by_hash, exclusive_running_sum, ordered_running_sum
+from ..functions.indexing import dense_index_by_hash, exclusive_running_sum, ordered_running_sum
 from ..functions.text import strip_unicode, ws_tokens
 from ..session import cut_lineage
 
 FILE_KEYS = ["part", "file"]
 
 
-def to_documents(lines: DataFrame, tokenize: Callable[[Column], Column] | None = None,
-                 small_file_table: int = SMALL_TABLE_ROWS) -> DataFrame:
+def to_documents(lines: DataFrame, tokenize: Callable[[Column], Column] | None = None) -> DataFrame:
     """D1 + D2: (part, file, line_no, line) -> sentences
     (doc_key long, sent_no long, part, file, line_no, sentence, tokens, n_tokens).
 
@@ -43,7 +42,7 @@ def to_documents(lines: DataFrame, tokenize: Callable[[Column], Column] | None =
     # and the per-file sort are not repeated
     s = cut_lineage(s)
     per_file = s.groupBy(*FILE_KEYS).agg(F.sum("_blank").alias("_nb"))
-    offs = ordered_running_sum(per_file, FILE_KEYS, "_nb", "_off", small_rows=small_file_table)
+    offs = ordered_running_sum(per_file, FILE_KEYS, "_nb", "_off")
     s = s.join(offs.select(*FILE_KEYS, "_off"), FILE_KEYS).withColumn("doc_key", F.col("_off") + F.col("_cum"))
     s = s.filter(F.col("n_tokens") > 0).drop("_blank", "_cum", "_off")
     return number_sentences(s)
@@ -83,80 +82,3 @@ def duplicate(df: DataFrame, k: int, col: str = "rep") -> DataFrame:
 def shuffle_key(seed: int, *keys) -> Column:
     """Seeded global order of rows."""
     return rng.sort_key(seed, "shuffle", *keys)
-
-
-def sentences_from_texts(df: DataFrame, key_col: str, text_col: str, delims: str = "。",
-                         closers: str = "」|)）\"", lower: bool = True,
-                         tokenize: Callable[[Column], Column] | None = None, max_lines: int = 4096,
-                         small_file_table: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """C4-C8 + D1/D2 for a table with one text per row that ends a document (the
-    ``documents`` layout): the same rows as ``to_documents`` over
-    ``lines_from_table(doc_break=True)`` cleaned by ``clean``, computed inside each row.
-
-    Each row's lines are cleaned as arrays; blank counts and sentence numbers come
-    from prefix counts over a per-row flag string, so the only shuffle is the join
-    with per-row document offsets (a running sum over the one-row-per-text table).
-    Rows of more than ``max_lines`` cleaned lines use windows partitioned by row
-    instead (the prefix counts are quadratic in the row length)."""
-    from ..functions.text import ltrim_spaces, rtrim_spaces, sentence_break
-
-    tokenize = tokenize or ws_tokens
-    lines = F.concat(F.split(F.col(text_col), "\n"), F.array(F.lit("")))
-    sub = F.flatten(F.transform(
-        lines, lambda l: F.split(ltrim_spaces(sentence_break(rtrim_spaces(l), delims, closers)), "\n")))
-
-    def starts_delim(x):
-        cond = F.lit(False)
-        for ch in delims:
-            cond = cond | x.startswith(ch)
-        return cond
-
-    kept = F.filter(sub, lambda x: ~starts_delim(x))
-    if lower:
-        kept = F.transform(kept, lambda x: F.lower(x))
-    S = F.transform(kept, lambda x: strip_unicode(x))
-    rows = df.select(F.col(key_col).cast("long").alias("part"), S.alias("_s"))
-    rows = rows.withColumn("_t", F.transform("_s", lambda x: tokenize(x)))
-    rows = rows.withColumn("_nb", F.size(F.filter("_s", lambda x: x == F.lit(""))).cast("long"))
-    rows = cut_lineage(rows)  # read twice: per-row blank totals and the sentences
-
-    offs = ordered_running_sum(rows.select("part", F.lit("").alias("file"), "_nb"), FILE_KEYS, "_nb", "_off",
-                               small_rows=small_file_table).select("part", "_off")
-
-    small = rows.filter(F.size("_s") <= max_lines)
-    bflags = F.array_join(F.transform("_s", lambda x: F.when(x == F.lit(""), "1").otherwise("0")), "")
-    kflags = F.array_join(F.transform("_t", lambda t: F.when(F.size(t) > 0, "1").otherwise("0")), "")
-    bpos = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: F.col("_s")[i] == F.lit(""))
-    small = small.select("part", "_s", "_t", bflags.alias("_bf"), kflags.alias("_kf"), bpos.alias("_bp"))
-    small = small.select("part", "_bf", "_kf", "_bp", F.posexplode(F.arrays_zip(
-        F.col("_s").alias("sentence"), F.col("_t").alias("tokens"))).alias("line_no", "_z"))
-    small = small.filter(F.size("_z.tokens") > 0)
-
-    def ones(flags, n):
-        return F.length(F.replace(F.substring(flags, 1, n), F.lit("0"), F.lit("")))
-
-    cum = ones(F.col("_bf"), F.col("line_no") + 1)
-    start = F.when(cum == 0, F.lit(0)).otherwise(F.element_at(F.col("_bp"), cum.cast("int")) + 1)
-    small = small.select(
-        "part", F.col("line_no").cast("long").alias("line_no"), F.col("_z.sentence").alias("sentence"),
-        F.col("_z.tokens").alias("tokens"), cum.cast("long").alias("_cum"),
-        (ones(F.col("_kf"), F.col("line_no")) - ones(F.col("_kf"), start)).cast("long").alias("sent_no"),
-    )
-
-    big = rows.filter(F.size("_s") > max_lines).select(
-        "part", F.posexplode(F.arrays_zip(F.col("_s").alias("sentence"), F.col("_t").alias("tokens"))).alias("line_no", "_z"))
-    w = Window.partitionBy("part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    big = big.withColumn("_cum", F.sum((F.col("_z.sentence") == F.lit("")).cast("long")).over(w))
-    big = big.filter(F.size("_z.tokens") > 0)
-    big = big.withColumn("sent_no", (F.row_number().over(
-        Window.partitionBy("part", "_cum").orderBy("line_no")) - 1).cast("long"))
-    big = big.select("part", F.col("line_no").cast("long").alias("line_no"), F.col("_z.sentence").alias("sentence"),
-                     F.col("_z.tokens").alias("tokens"), "_cum", "sent_no")
-
-    # one row per text: grows with the data, so the join strategy is left to Spark's
-    # size-checked choice (broadcast only under the threshold)
-    out = small.unionByName(big).join(offs, "part")
-    return out.select(
-        (F.col("_off") + F.col("_cum")).cast("long").alias("doc_key"), "sent_no", "part",
-        F.lit("").alias("file"), "line_no", "sentence", "tokens", F.size("tokens").alias("n_tokens"),
-    )

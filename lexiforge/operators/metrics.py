@@ -1,9 +1,8 @@
 """Scoring and metrics over prediction tables.
 
 Per-row math is array expressions (``transform``/``aggregate``), metrics are
-aggregates with partial aggregation; the per-class report is a group-by on the
-class with a full outer join of the true and predicted counts, so nothing is
-collected. Only the class list (bounded) is broadcast.
+aggregates with partial aggregation; the per-class report and the confusion matrix
+come from one count per (true, predicted) pair. Only the class list (bounded) is broadcast.
 """
 
 from __future__ import annotations
@@ -11,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .datasets import MAX_LABELS
+from .vocab import bounded_collect
 
 
 def _c(c) -> Column:
@@ -98,8 +99,12 @@ def argmax_label(df: DataFrame, probs: str, labels: DataFrame, out: str = "predi
 
 
 def join_by_position(preds: DataFrame, table: DataFrame, pos_col: str = "row_id") -> DataFrame:
-    """Predictions and the test table side by side; both must hold the same rows."""
-    return preds.join(table, pos_col, "inner")
+    """Predictions and the test table side by side; a position that only one of them
+    holds is an error. The check is part of the position column that is returned."""
+    both = preds.withColumn("_p", F.lit(True)).join(table.withColumn("_t", F.lit(True)), pos_col, "full_outer")
+    wrong = F.raise_error(F.concat(F.lit("only one table holds position "), F.col(pos_col).cast("string")))
+    whole = F.when(F.col("_p") & F.col("_t"), F.col(pos_col)).otherwise(wrong.cast(preds.schema[pos_col].dataType))
+    return both.withColumn(pos_col, whole).drop("_p", "_t")
 
 
 def accuracy(df: DataFrame, label: str = "label", predict: str = "predict") -> DataFrame:
@@ -109,10 +114,14 @@ def accuracy(df: DataFrame, label: str = "label", predict: str = "predict") -> D
 
 def classification_report(df: DataFrame, label: str = "label", predict: str = "predict") -> DataFrame:
     """Per class precision, recall, F1 and support; 0 where a denominator is 0."""
-    tp = df.filter(F.col(label) == F.col(predict)).groupBy(F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("tp"))
-    actual = df.groupBy(F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("support"))
-    pred = df.groupBy(F.col(predict).alias("class")).agg(F.count(F.lit(1)).alias("predicted"))
-    j = actual.join(pred, "class", "full_outer").join(tp, "class", "left").fillna(0, ["tp", "support", "predicted"])
+    hit = F.when(F.col(label) == F.col(predict), F.col("n")).otherwise(F.lit(0))
+    zero = F.lit(0).cast("long")
+    cells = df.groupBy(label, predict).agg(F.count(F.lit(1)).alias("n"))  # one pass; at most classes x classes rows
+    sides = cells.select(F.inline(F.array(
+        F.struct(F.col(label).alias("class"), F.col("n").alias("support"), zero.alias("predicted"), hit.cast("long").alias("tp")),
+        F.struct(F.col(predict).alias("class"), zero.alias("support"), F.col("n").alias("predicted"), zero.alias("tp")))))
+    j = sides.where(F.col("class").isNotNull()).groupBy("class").agg(
+        F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("tp").alias("tp"))
     p = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(0.0))
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     j = j.withColumn("precision", p).withColumn("recall", r)
@@ -149,12 +158,11 @@ def confusion_matrix(df: DataFrame, label: str = "label", predict: str = "predic
                      classes: list | None = None) -> DataFrame:
     """I16: rows = true class, one column per predicted class, classes sorted, zero
     cells present (a class seen only among predictions gets an all-zero row)."""
+    cells = cut_lineage(df.groupBy(F.col(label).alias("actual"), F.col(predict).alias("_predict")).agg(F.count(F.lit(1)).alias("n")))
     if classes is None:
-        cl = df.select(F.col(label).alias("c")).union(df.select(F.col(predict).alias("c"))).distinct()
-        if cl.count() > MAX_LABELS:
-            raise ValueError("class list above the bound")
-        classes = sorted(r["c"] for r in cl.collect())
-    counts = df.groupBy(F.col(label).alias("actual")).pivot(predict, classes).count().fillna(0)
+        cl = cells.select(F.inline(F.array(F.struct(F.col("actual").alias("c")), F.struct(F.col("_predict").alias("c"))))).distinct()
+        classes = sorted(r["c"] for r in bounded_collect(cl, MAX_LABELS))
+    counts = cells.groupBy("actual").pivot("_predict", classes).agg(F.sum("n")).fillna(0)
     spark = df.sparkSession
     all_rows = spark.createDataFrame([(c,) for c in classes], df.select(F.col(label).alias("actual")).schema)
     out = all_rows.join(counts, "actual", "left").fillna(0)

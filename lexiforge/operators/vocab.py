@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -112,14 +113,6 @@ def vocab_dict(vocab: DataFrame, max_size: int = MAX_VOCAB_COLLECT) -> dict[str,
     return d
 
 
-def vocab_words(vocab: DataFrame) -> list[str]:
-    """Distinct pieces in first-seen (id) order: the random-word list of F15."""
-    seen: dict[str, None] = {}
-    for r in vocab.select("piece", "id").orderBy("id").collect():
-        seen.setdefault(r["piece"], None)
-    return list(seen)
-
-
 def vocab_tables(vocab: DataFrame, max_size: int = MAX_VOCAB_COLLECT) -> tuple[dict[str, int], list[str]]:
     """One bounded collect: (piece -> id with the last id winning, distinct pieces in
     first-seen order)."""
@@ -131,6 +124,21 @@ def vocab_tables(vocab: DataFrame, max_size: int = MAX_VOCAB_COLLECT) -> tuple[d
     return d, list(dict.fromkeys(p for p, _ in rows))
 
 
+def _mapped(s: pd.Series, lookup) -> pd.Series:
+    """``lookup`` of all values of a batch of arrays at once; null rows stay null."""
+    rows = s[s.notna()]
+    n = rows.str.len().to_numpy(np.int64)
+    out = pd.Series([None] * len(s), index=s.index, dtype=object)
+    if n.sum():
+        flat = lookup(np.concatenate(rows.to_list()))
+        ends = np.cumsum(n)
+        parts = [flat[b - m:b] for b, m in zip(ends, n)]
+    else:
+        parts = [[] for _ in n]
+    out[s.notna().to_numpy()] = pd.Series(parts, index=rows.index, dtype=object)
+    return out
+
+
 def tokens_to_ids(col: Column, vocab: DataFrame | dict) -> Column:
     """Tokens -> ids, unknown -> 0, as an Arrow UDF over a broadcast dictionary."""
     d = vocab if isinstance(vocab, dict) else vocab_dict(vocab)
@@ -139,8 +147,8 @@ def tokens_to_ids(col: Column, vocab: DataFrame | dict) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def _ids(s: pd.Series) -> pd.Series:
-        m = bc.value
-        return s.map(lambda a: None if a is None else [m.get(t, UNK_ID) for t in a])
+        d = bc.value
+        return _mapped(s, lambda flat: np.fromiter(map(d.get, flat, repeat(UNK_ID)), np.int32, len(flat)))
 
     return _ids(col)
 
@@ -148,14 +156,15 @@ def tokens_to_ids(col: Column, vocab: DataFrame | dict) -> Column:
 def ids_to_tokens(col: Column, vocab: DataFrame | dict) -> Column:
     """E5: ids -> tokens through the inverse vocabulary, unknown -> ``<unk>``."""
     d = vocab if isinstance(vocab, dict) else vocab_dict(vocab)
-    inv = {i: p for p, i in d.items()}
-    spark = SparkSession.getActiveSession()
-    bc = spark.sparkContext.broadcast(inv)
+    table = np.full(max(d.values(), default=-1) + 2, "<unk>", dtype=object)  # by id; the last is unknown
+    for p, i in d.items():
+        table[i] = p
+    bc = SparkSession.getActiveSession().sparkContext.broadcast(table)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def _toks(s: pd.Series) -> pd.Series:
-        m = bc.value
-        return s.map(lambda a: None if a is None else [m.get(int(i), "<unk>") for i in a])
+        table = bc.value
+        return _mapped(s, lambda flat: table[np.where((flat >= 0) & (flat < len(table) - 1), flat, len(table) - 1)])
 
     return _toks(col)
 
@@ -247,13 +256,12 @@ def viterbi(word: str, scores: dict[str, float], max_len: int, unk_penalty: floa
     return merged
 
 
-def tokenize_subword(col: Column, vocab: DataFrame, lower: bool = True, max_len: int = 16) -> Column:
-    """Subword tokens of a text column under the vocabulary's piece scores."""
-    n = vocab.count()
-    if n > MAX_VOCAB_COLLECT:
-        raise ValueError(f"vocabulary of {n} rows is above the broadcast bound")
-    scores = {r["piece"]: float(r["score"]) for r in vocab.select("piece", "score").collect()
+def tokenize_subword(col: Column, vocab: DataFrame, lower: bool = True) -> Column:
+    """Subword tokens of a text column under the vocabulary's piece scores; pieces of
+    any length count."""
+    scores = {r["piece"]: float(r["score"]) for r in bounded_collect(vocab.select("piece", "score"), MAX_VOCAB_COLLECT)
               if r["piece"] not in RESERVED}
+    max_len = max(map(len, scores), default=1)
     unk_penalty = (min(scores.values()) if scores else 0.0) - 10.0
     bc = SparkSession.getActiveSession().sparkContext.broadcast((scores, unk_penalty))
 
@@ -319,18 +327,23 @@ def _expected_counts(batches, scores: dict[str, float], max_len: int):
                     beta[i] = _logaddexp(beta[i], beta[j] + sc)
             for i, j, sc in edges:
                 a = alpha[i] + sc + beta[j] - z
-                if a > -27.6:  # p > 1e-12
-                    key = w[i:j]
-                    acc[key] = acc.get(key, 0.0) + cnt * math.exp(a)
+                key = w[i:j]
+                acc[key] = acc.get(key, 0.0) + cnt * math.exp(a)
         if acc:
             yield pd.DataFrame({"piece": list(acc.keys()), "e": list(acc.values())})
 
 
 def train_unigram(sentences: DataFrame, size: int = 32000, text_col: str = "sentence",
                   seed_size: int | None = None, max_len: int = 16, shrink: float = 0.75,
-                  em_rounds: int = 2, lower: bool = True) -> DataFrame:
+                  em_rounds: int = 2, lower: bool = True, least_expected: float = 0.5) -> DataFrame:
     """E1 (re-aimed): unigram vocabulary of ``size`` pieces including the reserved ones.
 
+    Parameters of the method, with the values of the published one where it has them:
+    ``seed_size`` pieces to start from besides all single characters (default 10 for each
+    piece wanted, 1000 at least), ``max_len`` characters in a piece, ``shrink`` of the pieces
+    kept by a round, ``least_expected`` count of a piece that stays. Single characters always
+    stay, so every text can be written; more of them than ``size`` has room for is an error.
+
     E1a word counts -> E1b seed substrings (top ``seed_size`` by count x length, all
     single characters kept) -> rounds of EM (E1c) and pruning (E1d) until the size is
     reached. Returns (piece, score, id) with reserved ids first (E2)."""
@@ -381,7 +394,7 @@ def train_unigram(sentences: DataFrame, size: int = 32000, text_col: str = "sent
             bc.unpersist()
             tot = sum(got.values()) or 1.0
             scores = {p: math.log(max(got.get(p, 0.0), 1e-9) / tot) for p in scores
-                      if got.get(p, 0.0) >= 0.5 or p in char_set}
+                      if got.get(p, 0.0) >= least_expected or p in char_set}
         learned = [p for p in scores if p not in char_set]
         n_now = len(scores)
         if n_now <= target:
@@ -393,9 +406,9 @@ def train_unigram(sentences: DataFrame, size: int = 32000, text_col: str = "sent
             break
         scores = new_scores
     final = sorted(scores.items(), key=lambda kv: (-kv[1], kv[0]))
+    if len(char_set) > target:
+        raise ValueError(f"{len(char_set)} distinct characters do not fit a vocabulary of {size}")
     if len(final) > target:  # characters first so every text stays encodable
-        chars_first = [kv for kv in final if len(kv[0]) == 1]
-        rest = [kv for kv in final if len(kv[0]) > 1]
-        final = (chars_first + rest)[:target] if len(chars_first) < target else chars_first[:target]
+        final = ([kv for kv in final if len(kv[0]) == 1] + [kv for kv in final if len(kv[0]) > 1])[:target]
     pieces = spark.createDataFrame(final, "piece string, score double")
     return assign_ids(pieces, size)

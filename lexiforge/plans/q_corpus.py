@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.indexing import dense_index_by_hash
 from ..functions.text import decode_utf8, infer_value, translate_controls
 from ..operators import clean, documents, vocab
+from ..sources import tables
 from ..sources import text as src
 from . import sqlparts as S
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from .catalog import T, register, with_ctes
 
 DELIMS = ".!?"  # the test corpus has no 。, so the sentence rule runs on these
@@ -40,9 +41,19 @@ def doc_vocab(spark: SparkSession, sf: str, sentences: DataFrame | None = None)
 
 # --- A1 ---------------------------------------------------------------------------
 
-@register("a1_read_lines", with_ctes([S.doc_lines("l", doc_break=False)], "SELECT * FROM l"))
+def line_files(spark: SparkSession, ordered: DataFrame, keys: list[str], name: str) -> str:
+    """Text files of ``ordered`` (keys, line) in key order, many of them, for the readers."""
+    path = scratch_path(spark, name)
+    ordered.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.col("line").alias("value")).write.option("lineSep", "\n").text(path)
+    return path
+
+
+@register("a1_read_lines", with_ctes([S.doc_lines("l", doc_break=False)],
+                                     "SELECT CAST(row_number() OVER (ORDER BY part, line_no) - 1 AS BIGINT) AS line_no, line FROM l"))
 def a1_read_lines(spark, sf):
-    return src.lines_from_table(T(spark, sf, "documents"), "doc_id", "text", doc_break=False)
+    lines = src.lines_from_table(T(spark, sf, "documents"), "doc_id", "text", doc_break=False)
+    path = line_files(spark, lines, ["part", "line_no"], "lines")
+    return src.overall_numbers(src.read_lines(spark, path)).select(F.col("overall").alias("line_no"), "line")
 
 
 # --- A10 + C1-C3 + C4-C8 on pages -------------------------------------------------
@@ -177,12 +188,12 @@ def pair_lines(spark, sf) -> DataFrame:
     )
 
 
-@register("a6_read_pairs", with_ctes([_PAIR_LINES_SQL], f"""SELECT CAST(line_no AS BIGINT) AS unique_id,
+@register("a6_read_pairs", with_ctes([_PAIR_LINES_SQL], f"""SELECT CAST(row_number() OVER (ORDER BY line_no) - 1 AS BIGINT) AS unique_id,
   CASE WHEN regexp_matches(s, '^(.*) \\|\\|\\| (.*)$') THEN regexp_extract(s, '^(.*) \\|\\|\\| (.*)$', 1) ELSE s END AS text_a,
   CASE WHEN regexp_matches(s, '^(.*) \\|\\|\\| (.*)$') THEN regexp_extract(s, '^(.*) \\|\\|\\| (.*)$', 2) END AS text_b
 FROM (SELECT line_no, {S.strip('line')} AS s FROM pl) _p"""))
 def a6_read_pairs(spark, sf):
-    return src.parse_pairs(pair_lines(spark, sf))
+    return src.read_pairs(spark, line_files(spark, pair_lines(spark, sf), ["line_no"], "pairs"))
 
 
 # --- D ------------------------------------------------------------------------------
@@ -237,11 +248,11 @@ def e1a_word_counts(spark, sf):
 
 @register("e1b_candidate_substrings", with_ctes(_VOCAB_SQL, """SELECT piece, CAST(sum(n) AS BIGINT) AS n FROM (
   SELECT substring(w, i, L) AS piece, n FROM (
-    SELECT w, n, i, unnest(generate_series(1, least(8, length(w) - i + 1))) AS L FROM (
+    SELECT w, n, i, unnest(generate_series(1, least(16, length(w) - i + 1))) AS L FROM (
       SELECT w, n, unnest(generate_series(1, length(w))) AS i FROM (SELECT '▁' || piece AS w, n FROM vocab_wc) _a) _b) _c) _d
 GROUP BY piece"""))
 def e1b_candidate_substrings(spark, sf):
-    return vocab.candidate_substrings(vocab.word_counts(doc_sentences(spark, sf)), max_len=8)
+    return vocab.candidate_substrings(vocab.word_counts(doc_sentences(spark, sf)), max_len=16)
 
 
 @register("e2_assign_ids", with_ctes(_VOCAB_SQL, "SELECT piece, score, id FROM vocab"))
@@ -297,38 +308,24 @@ def e7_round_trip(spark, sf):
     )
 
 
-_VOCAB_LINES_SQL = """vl AS (
-  SELECT CAST(row_number() OVER (ORDER BY doc_id, i) - 1 AS BIGINT) AS line_no,
-         lower(list_filter(regexp_split_to_array(arr[i], '[ \\t\\n\\r\\f]+'), lambda t: t <> '')[1]) || chr(9) || '0' AS line
-  FROM (SELECT doc_id, arr, unnest(generate_series(1, len(arr))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS arr FROM documents) _a) _b
-  WHERE len(list_filter(regexp_split_to_array(arr[i], '[ \\t\\n\\r\\f]+'), lambda t: t <> '')) > 0)"""
+_VOCAB_LINES_SQL = f"""vl AS (
+  SELECT CAST(row_number() OVER (ORDER BY part, line_no, pos) - 1 AS BIGINT) AS line_no, w || chr(9) || '0' AS line
+  FROM (SELECT part, line_no, pos, ws[pos] AS w FROM (SELECT part, line_no, ws, unnest(generate_series(1, len(ws))) AS pos
+    FROM (SELECT part, line_no, {S.ws_tokens('line')} AS ws FROM dl) _a) _b) _c)"""
 
 
 def vocab_file_lines(spark, sf) -> DataFrame:
-    """A vocabulary file made from the corpus: one line per text line holding its
-    first word and score 0, numbered in corpus order; words repeat, so later lines win."""
+    """A vocabulary file made from the corpus: a line for every word of every text with
+    score 0, in corpus order; words repeat, so later lines win."""
     from ..functions.text import ws_tokens
 
     lines = src.lines_from_table(T(spark, sf, "documents"), "doc_id", "text", doc_break=False)
-    first = ws_tokens(F.col("line"))
-    with_w = lines.filter(F.size(first) > 0).withColumn("w", first[0])
-    ordered = with_w.withColumn("_h", F.format_string("%020d%020d", F.col("part"), F.col("line_no")))
-    from ..functions.indexing import ordered_running_sum
-
-    per = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    offs = ordered_running_sum(per, ["part"], "n", "off")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("part").orderBy("line_no")
-    return (
-        ordered.join(offs.select("part", "off"), "part")
-        .withColumn("line_no", (F.col("off") + F.row_number().over(w) - 1).cast("long"))
-        .select("line_no", F.concat(F.col("w"), F.lit("\t0")).alias("line"))
-    )
+    words = lines.select("part", "line_no", F.posexplode(ws_tokens(F.col("line"))).alias("pos", "w"))
+    return words.select("part", "line_no", "pos", F.concat("w", F.lit("\t0")).alias("line"))
 
 
-@register("a5_read_vocab", with_ctes([_VOCAB_LINES_SQL], f"""SELECT piece, CAST(max(id) AS INTEGER) AS id FROM (
+@register("a5_read_vocab", with_ctes([S.doc_lines("dl", doc_break=False), _VOCAB_LINES_SQL], f"""SELECT piece, CAST(max(id) AS INTEGER) AS id FROM (
   SELECT {S.strip("split_part(line, chr(9), 1)")} AS piece, line_no AS id FROM vl) _v GROUP BY piece"""))
 def a5_read_vocab(spark, sf):
-    parsed = vocab.parse_vocab(vocab_file_lines(spark, sf))
-    return vocab.invert_vocab(parsed).select("piece", "id")
+    path = line_files(spark, vocab_file_lines(spark, sf), ["part", "line_no", "pos"], "vocab")
+    return vocab.invert_vocab(tables.read_vocab(spark, path)).select("piece", "id")

@@ -76,7 +76,8 @@ def g5_subsample(spark, sf):
 @register("g6_example_ids", with_ctes(_BASE, "SELECT doc_id, split || '-' || CAST(split_index + 1 AS VARCHAR) AS guid FROM spl"))
 def g6_example_ids(spark, sf):
     t = split_table(spark, sf)
-    return t.withColumn("guid", F.format_string("%s-%d", F.col("split"), F.col("split_index") + 1)).select("doc_id", "guid")
+    sets = [G.example_ids(t.filter(F.col("split") == x), x, "split_index") for x in ("train", "dev", "test")]
+    return sets[0].unionByName(sets[1]).unionByName(sets[2]).select("doc_id", "guid")
 
 
 @register("g7_encode_label", with_ctes(_BASE, "SELECT l.doc_id, c.label_id FROM lab l JOIN cats c USING (label)"))
@@ -123,11 +124,11 @@ def c14_check_seq_len(spark, sf):
     return f.select("doc_id", F.size("input_ids").alias("n"))
 
 
-@register("c15_preview", with_ctes(_feat_sql(), """SELECT doc_id, array_to_string(list_transform(list_slice(input_ids, 1, 16),
+@register("c15_preview", with_ctes(_feat_sql(), """SELECT doc_id, array_to_string(list_transform(input_ids,
   lambda x: CAST(x AS VARCHAR)), ' ') AS preview FROM feat ORDER BY doc_id LIMIT 5"""))
 def c15_preview(spark, sf):
     f = clean.preview(_features(spark, sf), ["doc_id"], 5)
-    return f.select("doc_id", F.array_join(F.slice("input_ids", 1, 16), " ").alias("preview"))
+    return f.select("doc_id", F.array_join("input_ids", " ").alias("preview"))
 
 
 @register("b2_a8_feature_records", with_ctes(_feat_sql(), f"SELECT {_FEAT_COLS} FROM feat"))

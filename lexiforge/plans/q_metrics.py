@@ -1,7 +1,7 @@
 """Queries for scoring, metrics, vectors and their sinks.
 
-Prediction tables stand in as the first 10 of the 64 values of ``embeddings``
-(truth = ``label``); masked-LM evaluation rows are the pretraining records with
+Prediction tables stand in as the scores of 10 classes over all 64 values of ``embeddings``
+(I18 with weights by a fixed rule; truth = ``label``); masked-LM evaluation rows are the pretraining records with
 keyed stand-in model outputs."""
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ ROUND = 6
 
 
 def logits(spark, sf) -> DataFrame:
+    W, b = head_weights()
     e = T(spark, sf, "embeddings")
-    return e.select("vec_id", "label", F.slice("embedding", 1, N_CLASSES).cast("array<double>").alias("x"))
+    return e.select("vec_id", "label", r6a(I.linear_scores(F.col("embedding").cast("array<double>"), W, b)).alias("x"))
 
 
 def r6(c):
@@ -37,7 +38,11 @@ def r6a(c):
 
 
 _LOGITS = [
-    f"lg AS (SELECT vec_id, label, CAST(embedding[1:{N_CLASSES}] AS DOUBLE[]) AS x FROM embeddings)",
+    f"""lg AS (SELECT vec_id, label, list(round(score, 6) ORDER BY c) AS x FROM (
+  SELECT e.vec_id, e.label, w.c, sum(CAST(e.v AS DOUBLE) * w.w) + (w.c - 5) / 10.0 AS score
+  FROM (SELECT vec_id, label, unnest(embedding) AS v, unnest(range(64)) AS d FROM embeddings) e
+  JOIN (SELECT c, d, ((((c + 1) * (d + 3)) % 11) - 5) / 10.0 AS w FROM range({N_CLASSES}) t1(c), range(64) t2(d)) w ON w.d = e.d
+  GROUP BY e.vec_id, e.label, w.c) _s GROUP BY vec_id, label)""",
     "lm AS (SELECT *, list_max(x) AS m FROM lg)",
     "ls AS (SELECT *, list_sum(list_transform(x, lambda v: exp(v - m))) AS s FROM lm)",
     "lp AS (SELECT *, ln(s) + m AS lse, list_position(x, list_max(x)) - 1 AS k FROM ls)",
@@ -181,7 +186,7 @@ def _pred_file(spark, sf) -> str:
     return writers.write_predictions(lg, spark, "predictions", expected_rows=lg.count())
 
 
-@register("b5_a7_predictions_round_trip", f"SELECT vec_id AS row_id, CAST(embedding[1:{N_CLASSES}] AS DOUBLE[]) AS probabilities FROM embeddings")
+@register("b5_a7_predictions_round_trip", with_ctes(_LOGITS, "SELECT vec_id AS row_id, x AS probabilities FROM lg"))
 def b5_a7_predictions_round_trip(spark, sf):
     return tables.read_predictions(spark, _pred_file(spark, sf))
 
@@ -200,7 +205,6 @@ def i11_join_by_position(spark, sf):
   SELECT 'eval_accuracy = ' || CAST(round(avg(CAST(k = label AS DOUBLE)), 6) AS VARCHAR) AS line FROM lp
   UNION ALL SELECT 'eval_loss = ' || CAST(round(avg(-(x[label + 1] - lse)), 6) AS VARCHAR) FROM lp) _m"""))
 def b6_metrics_report(spark, sf):
-    m = i8_classifier_metrics.__wrapped__(spark, sf) if hasattr(i8_classifier_metrics, "__wrapped__") else None
     lg = logits(spark, sf)
     rows = lg.select(I.argmax("x").alias("prediction"), F.col("label").alias("label_ids"),
                      I.nll(I.log_softmax("x"), F.col("label")).alias("per_example_loss"), F.lit(1).alias("is_real_example"))
@@ -277,11 +281,11 @@ def i7_nsp_metrics(spark, sf):
   (SELECT sum(w * loss) / (sum(w) + 1e-5) AS l FROM evp) m, (SELECT avg(nsp_loss) AS l FROM ev) n"""))
 def i9_total_loss(spark, sf):
     ev = eval_rows(spark, sf)
-    z = ev.select(F.explode(F.arrays_zip("masked_lm_weights", "example_loss")).alias("z")).select(
-        F.col("z.masked_lm_weights").cast("double").alias("w"), F.col("z.example_loss").alias("l"))
-    mlm = I.masked_loss(z, "l", "w").withColumnRenamed("loss", "mlm")
-    nsp = ev.agg(F.avg("nsp_loss").alias("nsp"))
-    return mlm.join(nsp, how="cross").select(r6(F.col("mlm") + F.col("nsp")).alias("total_loss"))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v)
+    weighted = F.zip_with("masked_lm_weights", "example_loss", lambda w, l: w.cast("double") * l)
+    per_row = ev.select(add(weighted).alias("wl"), add(F.transform("masked_lm_weights", lambda w: w.cast("double"))).alias("w"), "nsp_loss")
+    total = F.sum("wl") / (F.sum("w") + F.lit(1e-5)) + F.avg("nsp_loss")
+    return per_row.agg(r6(total).alias("total_loss"))
 
 
 # --- per-token vectors (J1-J3, I12, B3, A9) ---------------------------------------------
@@ -327,9 +331,13 @@ def j1_j2_token_vectors(spark, sf):
     return token_vector_table(spark, sf)
 
 
-@register("i12_join_features", with_ctes(_vec_sql(), "SELECT unique_id, len(tokens) AS n_tokens FROM jf"))
+@register("i12_join_features", with_ctes(_vec_sql(), """SELECT unique_id, tokens,
+  list_transform(embedding, lambda v: round(CAST(v AS DOUBLE), 6)) AS encoded FROM jf"""))
 def i12_join_features(spark, sf):
-    return layer_outputs(spark, sf).select("unique_id", F.size("tokens").alias("n_tokens"))
+    """The features of every input line beside the encoder output of its unique id: the first
+    token's layers are the stored values themselves."""
+    first = F.flatten(F.transform("all_layers", lambda layer: layer[0]))
+    return layer_outputs(spark, sf).select("unique_id", "tokens", r6a(first).alias("encoded"))
 
 
 @register("b3_a9_j3_vector_lookup", with_ctes(_vec_sql(), """SELECT linex_index, features[4].token AS token,

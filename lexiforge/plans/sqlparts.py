@@ -58,16 +58,18 @@ def sentence_split(src: str, name: str, delims: str, closers: str = "」|)）\""
 
 
 def first_pass(src: str, name: str) -> list[str]:
+    """C1-C3 by islands: lines left by C1 are numbered, consecutive ``<doc id`` lines form an
+    island (their number less their rank among such lines is constant), and the odd members of an
+    island open a range of two lines."""
     return [
-        f"""{name}_h AS (
-  SELECT *, line_no - coalesce(max(CASE WHEN NOT has THEN line_no END) OVER (PARTITION BY part, file ORDER BY line_no
-            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) - 1 AS pos
-  FROM (SELECT *, contains(line, '<doc id') AS has FROM {src}) _a)""",
-        f"""{name}_o AS (SELECT *, has AND pos % 2 = 0 AS op FROM {name}_h)""",
-        f"""{name}_f AS (SELECT *, op OR coalesce(lag(op) OVER (PARTITION BY part, file ORDER BY line_no), false) AS hdr
-  FROM {name}_o)""",
-        f"""{name} AS (SELECT part, file, line_no, replace(line, '</doc>', '') AS line FROM {name}_f
-  WHERE line <> '' AND NOT hdr)""",
+        f"""{name}_n AS (SELECT *, row_number() OVER (PARTITION BY part, file ORDER BY line_no) AS n FROM {src} WHERE line <> '')""",
+        f"""{name}_h AS (SELECT part, file, n, n - row_number() OVER (PARTITION BY part, file ORDER BY n) AS island
+  FROM {name}_n WHERE contains(line, '<doc id'))""",
+        f"""{name}_o AS (SELECT part, file, n FROM (SELECT part, file, n,
+  row_number() OVER (PARTITION BY part, file, island ORDER BY n) AS k FROM {name}_h) _k WHERE k % 2 = 1)""",
+        f"""{name}_d AS (SELECT part, file, n FROM {name}_o UNION SELECT part, file, n + 1 FROM {name}_o)""",
+        f"""{name} AS (SELECT l.part, l.file, l.line_no, replace(l.line, '</doc>', '') AS line FROM {name}_n l
+  LEFT JOIN {name}_d d ON d.part = l.part AND d.file = l.file AND d.n = l.n WHERE d.n IS NULL)""",
     ]
 
 

@@ -8,6 +8,7 @@ is absent (local tests), never on a cluster that names one.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -72,7 +73,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; pick a local one only if none is set."""
+    """Return the shared checkpoint folder; a local one is made only where none is set and
+    the master is local. On a cluster without one this is an error: executors do not share
+    a folder of the driver's machine."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -81,6 +84,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="lexiforge-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.indexing import ordered_running_sum
-from .text import read_lines
+from .text import overall_numbers, read_lines
 
 
 def read_tsv_raw(spark: SparkSession, path: str) -> DataFrame:
@@ -25,13 +24,8 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the files under ``path`` with one overall 0-based number in file-name
-    order (per-file counts, a running sum over the small file table)."""
-    lines = read_lines(spark, path)
-    per_file = lines.groupBy("part", "file").agg(F.count(F.lit(1)).alias("_n"))
-    offs = ordered_running_sum(per_file, ["part", "file"], "_n", "_off")
-    return lines.join(offs.select("part", "file", "_off"), ["part", "file"]).select(
-        (F.col("_off") + F.col("line_no")).alias("line_no"), "line")
+    """Lines of the files under ``path`` with one overall 0-based number in file-name order."""
+    return overall_numbers(read_lines(spark, path)).select(F.col("overall").alias("line_no"), "line")
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
@@ -72,6 +66,18 @@ def read_records(spark: SparkSession, paths, arrays: dict[str, int], scalars: li
     return df.select(*cols)
 
 
+def read_pretraining(spark: SparkSession, paths, max_seq_length: int = 128, max_predictions: int = 20) -> DataFrame:
+    """A8 for pretraining records: fixed lengths checked, int64 narrowed, weights as floats;
+    with the instance number and the shard (0 where the folder is not sharded)."""
+    arrays = {c: max_seq_length for c in ("input_ids", "input_mask", "segment_ids")}
+    arrays |= {c: max_predictions for c in ("masked_lm_positions", "masked_lm_ids")} | {"next_sentence_labels": 1}
+    out = read_records(spark, paths, arrays, extra={"masked_lm_weights": "array<float>", "inst_index": "bigint", "shard": "int"})
+    w = F.col("masked_lm_weights")
+    wrong = F.raise_error(F.lit(f"masked_lm_weights does not have length {max_predictions}")).cast("array<float>")
+    return out.withColumns({"masked_lm_weights": F.when(F.size(w) == max_predictions, w).otherwise(wrong),
+                            "shard": F.coalesce("shard", F.lit(0))})
+
+
 TOKEN_VECTOR_SCHEMA = T.StructType([
     T.StructField("linex_index", T.LongType()),
     T.StructField("features", T.ArrayType(T.StructType([

@@ -2,9 +2,9 @@
 
 Every line table has the order columns ``part`` (glob position, or the key of the
 row a text came from), ``file`` and ``line_no``; order is never left to partition
-layout. A file is read whole (``wholetext``) so line numbers are exact without a
-sort; a file is therefore the unit of parallelism and must fit in one row (2 GB),
-which sharded corpora (the extractor writes ~1 MB files) always do.
+layout. Files are read in splits, so one large file is many tasks: a line's place in its
+split comes from the task's own row counter, and the splits' line counts (a small table) give
+the number of the first line of each.
 """
 
 from __future__ import annotations
@@ -14,36 +14,39 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.indexing import exclusive_running_sum, ordered_running_sum
 from ..functions.text import col_of, strip_unicode, translate_controls
 
 LINE_COLS = ["part", "file", "line_no", "line"]
 
 
-def _split_lines(value: Column) -> Column:
-    """Lines of a text as ``readline`` returns them: a final newline does not make an
-    extra empty line, and an empty text has no lines at all."""
-    body = F.regexp_replace(value, "\n\\z", "")
-    return F.when(value == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(body, "\n"))
-
-
 def read_lines(spark: SparkSession, globs) -> DataFrame:
-    """A1: comma-separated globs read in listed order, files sorted within a glob;
-    one row per physical line. Documents may continue across file ends."""
+    """A1: comma-separated globs read in listed order, files sorted within a glob; one row per
+    physical line as ``readline`` returns it (lines end at a newline only; a final newline
+    makes no extra line, and an empty file has no lines). Documents may continue across file
+    ends. ``file`` is the path as it is named."""
     if isinstance(globs, str):
         globs = [g for g in globs.split(",") if g]
-    frames = []
-    for gi, g in enumerate(globs):
-        frames.append(
-            spark.read.text(g, wholetext=True).select(
-                F.lit(gi).cast("long").alias("part"),
-                F.col("_metadata.file_path").alias("file"),
-                F.col("value"),
-            )
-        )
-    files = reduce(DataFrame.unionByName, frames)
-    return files.select("part", "file", F.posexplode(_split_lines(F.col("value"))).alias("line_no", "line")).select(
-        "part", "file", F.col("line_no").cast("long"), "line"
-    )
+    frames = [
+        spark.read.option("lineSep", "\n").text(g).select(
+            F.lit(gi).cast("long").alias("part"), decoded_path().alias("file"),
+            F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+        for gi, g in enumerate(globs)
+    ]
+    # Rows of one split follow each other in one task, so their counter rises by one.
+    lines = reduce(DataFrame.unionByName, frames)
+    splits = lines.groupBy("part", "file", "_split").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    splits = exclusive_running_sum(splits, ["_split"], "_n", "_before", partition_cols=["part", "file"])
+    return lines.join(splits, ["part", "file", "_split"]).select(
+        "part", "file", (F.col("_before") + F.col("_row") - F.col("_first")).cast("long").alias("line_no"), "line")
+
+
+def overall_numbers(lines: DataFrame, out: str = "overall") -> DataFrame:
+    """``lines`` with one overall 0-based number in the order (part, file, line_no): a running
+    sum over the table of files."""
+    per_file = lines.groupBy("part", "file").agg(F.count(F.lit(1)).alias("_n"))
+    offs = ordered_running_sum(per_file, ["part", "file"], "_n", "_off").select("part", "file", "_off")
+    return lines.join(offs, ["part", "file"]).withColumn(out, F.col("_off") + F.col("line_no")).drop("_off")
 
 
 def lines_from_table(df: DataFrame, key_col: str, text_col: str, doc_break: bool = True) -> DataFrame:
@@ -59,11 +62,17 @@ def lines_from_table(df: DataFrame, key_col: str, text_col: str, doc_break: bool
     ).select("part", "file", F.col("line_no").cast("long"), "line")
 
 
+def decoded_path() -> Column:
+    """Path of the file that a row was read from, as it is named: Spark percent-encodes it.
+    (``+`` means itself in a path, but a blank to ``url_decode``.)"""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def read_labelled_folders(spark: SparkSession, root: str) -> DataFrame:
     """A2: one sub-folder per category under ``root``; only files named
     ``{category}*.txt`` count. Returns (label, file_name, content); order = (label, file_name)."""
     raw = spark.read.option("pathGlobFilter", "*.txt").text(f"{root}/*/", wholetext=True)
-    path = F.col("_metadata.file_path")
+    path = decoded_path()
     out = raw.select(
         F.regexp_extract(path, "([^/]+)/[^/]+$", 1).alias("label"),
         F.regexp_extract(path, "([^/]+)$", 1).alias("file_name"),
@@ -96,14 +105,14 @@ def labelled_texts(files: DataFrame) -> DataFrame:
 
 
 # The pair delimiter of the sentence-pair input format.
-PAIR_PATTERN = "^(.*) \\|\\|\\| (.*)$"
+PAIR_PATTERN = "(?s)^(.*) \\|\\|\\| (.*)\\z"
 
 
 def parse_pairs(lines: DataFrame, id_col: str = "line_no", line_col: str = "line") -> DataFrame:
     """Strip the line; greedy match so the last ' ||| ' splits; no match ->
     text_b null; blank lines stay as rows. unique_id = line number."""
     s = strip_unicode(F.col(line_col))
-    m = s.rlike("(?s)" + PAIR_PATTERN)
+    m = s.rlike(PAIR_PATTERN)
     return lines.select(
         F.col(id_col).cast("long").alias("unique_id"),
         F.when(m, F.regexp_extract(s, PAIR_PATTERN, 1)).otherwise(s).alias("text_a"),
@@ -113,15 +122,7 @@ def parse_pairs(lines: DataFrame, id_col: str = "line_no", line_col: str = "line
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """A6 from a file (or files, in name order): unique_id = overall line number."""
-    lines = read_lines(spark, path)
-    from ..functions.indexing import ordered_running_sum
-
-    per_file = lines.groupBy("part", "file").agg(F.count(F.lit(1)).alias("n"))
-    offs = ordered_running_sum(per_file, ["part", "file"], "n", "off")
-    numbered = lines.join(offs.select("part", "file", "off"), ["part", "file"]).withColumn(
-        "uid", F.col("off") + F.col("line_no")
-    )
-    return parse_pairs(numbered, "uid", "line")
+    return parse_pairs(overall_numbers(read_lines(spark, path), "uid"), "uid", "line")
 
 
 # --- A10: page text extraction -------------------------------------------------

@@ -4,7 +4,8 @@ The reference feeds prediction inputs batch by batch. Here labelled rows arrive
 files in a folder; a Structured Streaming query applies the same per-row feature
 expressions as the batch job (F9-F12 as array expressions, E4 as an Arrow UDF over a
 broadcast vocabulary, G7 as a stream-static broadcast join with the label list) and
-``foreachBatch`` appends each micro-batch to a Parquet table. Every step is per row,
+``foreachBatch`` writes each micro-batch to its own folder of a Parquet table, so a
+replayed batch replaces its rows. Every step is per row,
 so no streaming state is kept; the checkpoint folder makes the query restartable.
 """
 
@@ -27,7 +28,8 @@ def featurize_stream(spark: SparkSession, source_dir: str, schema: T.StructType,
     feats = G.classification_features(stream, vocab, labels, max_seq_length, text_col, label_col)
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("append").parquet(out_dir)
+        # A batch that is run again after a failure replaces its own folder.
+        batch.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={epoch_id}"))
 
     writer = feats.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")
