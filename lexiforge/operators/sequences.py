@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rng
@@ -234,15 +234,17 @@ def cpu_partitions(spark) -> int:
 
 
 def assemble_pairs(plan: DataFrame, sentences: DataFrame, docs: DataFrame, seed: int,
-                   carry: list[str] | None = None) -> DataFrame:
+                   carry: list[str] | None = None, max_target: int = 125) -> DataFrame:
     """F6 + chunk assembly: plan rows -> (rep, doc_index, start, is_random_next, *carry, ids_a, ids_b).
 
     ``sentences``: (doc_index, sent_no, ids, n_tokens); ``docs``: (doc_index, n_sent).
     A = chunk sentences before the cut; B = the rest of the chunk, or, for a random
     next, sentences of ``other_doc`` from a random start until B reaches
-    ``target_b`` tokens (at least one sentence). Sentence rows are fetched by exact
-    (document, sentence) keys, so no document is ever gathered in one place; the
-    only grouping is per instance (at most two chunks of sentences)."""
+    ``target_b`` tokens (at least one sentence; ``target_b`` is below ``max_target``). Where
+    that is comes from lengths alone, kept as one array per block of a document, so ids are
+    joined for kept sentences only. Sentence rows are fetched by exact (document, sentence)
+    keys, so no document is ever gathered in one place; the only groupings are per block and
+    per instance (at most two chunks of sentences)."""
     key = ["rep", "doc_index", "start"]
     extra = ["is_random_next", *(carry or [])]
     p = plan.join(docs.select(F.col("doc_index").alias("other_doc"), F.col("n_sent").alias("other_n")), "other_doc", "left")
@@ -256,17 +258,24 @@ def assemble_pairs(plan: DataFrame, sentences: DataFrame, docs: DataFrame, seed:
         *key, *extra, F.col("doc_index").alias("src_doc"), "sent_no",
         F.when(F.col("sent_no") < F.col("start") + F.col("cut"), 0).otherwise(1).alias("role"),
     )
-    # random B: at most max(target_b, 1) sentences can be needed (every sentence has a token)
-    rb = p.filter(F.col("is_random_next"))
-    rb_last = F.least(F.col("rstart") + F.greatest(F.col("target_b"), F.lit(1)) - 1, F.col("other_n") - 1)
-    rnd = rb.select(*key, *extra, F.col("other_doc").alias("src_doc"), "target_b", "rstart",
-                    F.explode(F.sequence(F.col("rstart"), rb_last)).alias("sent_no"))
-    s = sentences.select(F.col("doc_index").alias("src_doc"), "sent_no", "ids", "n_tokens")
-    rnd = rnd.join(s, ["src_doc", "sent_no"])
-    w = Window.partitionBy(*key).orderBy("sent_no").rowsBetween(Window.unboundedPreceding, -1)
-    rnd = rnd.withColumn("_before", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
-    rnd = rnd.filter((F.col("sent_no") == F.col("rstart")) | (F.col("_before") < F.col("target_b")))
-    rnd = rnd.select(*key, *extra, "sent_no", F.lit(1).alias("role"), "ids")
+    # random B: every sentence has a token, so at most ``max_target`` of them are needed; a
+    # block's array also holds that many lengths of the next one, so one row serves a start.
+    block = F.floor(F.col("sent_no") / max_target)
+    lens = sentences.select("doc_index", "n_tokens", "sent_no", F.explode(F.array(block, block - 1)).alias("block")).where("block >= 0")
+    lens = lens.groupBy(F.col("doc_index").alias("other_doc"), "block").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("sent_no", "n_tokens"))), lambda x: x["n_tokens"]).alias("lens"))
+    rb = p.filter(F.col("is_random_next")).withColumn("block", F.floor(F.col("rstart") / max_target))
+    rb = rb.join(lens, ["other_doc", "block"])
+    ahead = F.slice("lens", (F.col("rstart") - F.col("block") * max_target + 1).cast("int"), F.greatest(F.col("target_b"), F.lit(1)).cast("int"))
+    count = F.aggregate(
+        ahead, F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("t")),
+        lambda acc, x: F.when((acc["n"] == 0) | (acc["t"] < F.col("target_b")),
+                              F.struct((acc["n"] + 1).alias("n"), (acc["t"] + x).alias("t"))).otherwise(acc),
+        lambda acc: acc["n"])
+    rnd = rb.select(*key, *extra, F.col("other_doc").alias("src_doc"),
+                    F.explode(F.sequence(F.col("rstart"), F.col("rstart") + count - 1)).alias("sent_no"))
+    s = sentences.select(F.col("doc_index").alias("src_doc"), "sent_no", "ids")
+    rnd = rnd.join(s, ["src_doc", "sent_no"]).select(*key, *extra, "sent_no", F.lit(1).alias("role"), "ids")
     own = own.join(s, ["src_doc", "sent_no"]).select(*key, *extra, "sent_no", "role", "ids")
     parts = own.unionByName(rnd)
     g = parts.groupBy(*key).agg(
