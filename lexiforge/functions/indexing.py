@@ -16,9 +16,10 @@ HASH_BUCKET_HEX = 4  # 16**4 = 65,536 buckets at most
 
 
 def dense_index_by_hash(df: DataFrame, hash_col: str, out: str, tie_cols: list[str] | None = None,
-                        group_cols: list[str] | None = None) -> DataFrame:
+                        group_cols: list[str] | None = None, total: str | None = None) -> DataFrame:
     """0-based index of each row in the order (group_cols, hex string ``hash_col``,
-    tie_cols). With ``group_cols`` the index restarts at 0 in every group."""
+    tie_cols). With ``group_cols`` the index restarts at 0 in every group. ``total`` names a
+    column for the number of rows (of the group), which the bucket counts give for free."""
     tie_cols = tie_cols or []
     group_cols = group_cols or []
     b = F.substring(F.col(hash_col), 1, HASH_BUCKET_HEX)
@@ -28,7 +29,9 @@ def dense_index_by_hash(df: DataFrame, hash_col: str, out: str, tie_cols: list[s
     w_all = Window.orderBy(*bkeys).rowsBetween(Window.unboundedPreceding, -1)
     if group_cols:
         w_all = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*bkeys, F.coalesce(F.sum("_n").over(w_all), F.lit(0)).alias("_off"))
+    w_sum = Window.partitionBy(*group_cols)
+    extra = [] if total is None else [F.sum("_n").over(w_sum).cast("long").alias(total)]
+    offsets = counts.select(*bkeys, F.coalesce(F.sum("_n").over(w_all), F.lit(0)).alias("_off"), *extra)
     w = Window.partitionBy(*bkeys).orderBy(F.col(hash_col), *[F.col(c) for c in tie_cols])
     numbered = with_b.withColumn("_rn", F.row_number().over(w))
     return (

@@ -31,9 +31,11 @@ def terms(df: DataFrame, text_col: str = "text") -> DataFrame:
 def fit_tfidf(fit: DataFrame, key: str, text_col: str = "text", max_features: int = 750) -> DataFrame:
     """K2 fit: (term, term_index, idf) of the ``max_features`` most frequent terms
     (ties by term); term_index follows term order as in the reference's library."""
-    t = terms(fit, text_col).select(key, F.explode("_terms").alias("term"))
-    n = fit.count()
-    stats = t.groupBy("term").agg(F.count(F.lit(1)).alias("tf"), F.countDistinct(key).alias("df"))
+    t = terms(fit, text_col).select(key, "_terms")
+    n = t.select(key).count()
+    # Counted per (row, term) first: a term's row count needs no distinct.
+    per = t.select(key, F.explode("_terms").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    stats = per.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
     top = stats.orderBy(F.col("tf").desc(), F.col("term")).limit(max_features)
     w = Window.orderBy("term")  # over at most max_features rows
     return top.select(
@@ -46,6 +48,7 @@ def fit_tfidf(fit: DataFrame, key: str, text_col: str = "text", max_features: in
 def transform_tfidf(df: DataFrame, model: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """K2 apply: long form (key, term, term_index, value), rows L2-normalised."""
     t = terms(df, text_col).select(key, F.explode("_terms").alias("term"))
+    # The model has at most ``max_features`` rows.
     tf = t.join(F.broadcast(model), "term").groupBy(key, "term", "term_index", "idf").agg(
         F.count(F.lit(1)).alias("tf"))
     v = tf.withColumn("raw", F.col("tf") * F.col("idf"))
@@ -53,16 +56,18 @@ def transform_tfidf(df: DataFrame, model: DataFrame, key: str, text_col: str = "
     return v.join(norm, key).select(key, "term", "term_index", (F.col("raw") / F.col("_norm")).alias("value"))
 
 
-def dense_features(long: DataFrame, rows: DataFrame, key: str, dims: int, out: str = "features") -> DataFrame:
-    """Long (key, term_index, value) -> one ML vector per row of ``rows`` (zeros where
+def sparse_features(long: DataFrame, rows: DataFrame, key: str, dims: int, out: str = "features") -> DataFrame:
+    """Long (key, term_index, value) -> one sparse ML vector per row of ``rows`` (empty where
     a row has no term)."""
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    g = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_index", "value"))).alias("_t"))
+
+    @F.udf(VectorUDT())  # no native expression builds a sparse vector
+    def vector(pairs):
+        return Vectors.sparse(dims, [p[0] for p in pairs or ()], [p[1] for p in pairs or ()])
 
-    g = long.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term_index", "value"))).alias("_m"))
-    j = rows.join(g, key, "left")
-    arr = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
-                      lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)))
-    return j.withColumn(out, array_to_vector(arr)).drop("_m")
+    return rows.join(g, key, "left").withColumn(out, vector("_t")).drop("_t")
 
 
 def train_baseline(train: DataFrame, label_col: str = "label_index", features: str = "features",

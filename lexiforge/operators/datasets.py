@@ -29,29 +29,33 @@ def categories(df: DataFrame, label_col: str = "label") -> DataFrame:
     return spark.createDataFrame([(lab, i) for i, lab in enumerate(rows)], "label string, label_id int")
 
 
+#: Column with the number of rows that ``shuffle_rows`` has numbered.
+TOTAL = "row_total"
+
+
 def shuffle_rows(df: DataFrame, seed: int, key_cols: list[str], out: str = "row_index") -> DataFrame:
-    """Seeded full shuffle with a new dense row index."""
+    """Seeded full shuffle with a new dense row index, and the number of rows in
+    ``row_total`` (from the counts that the index needs anyway)."""
     keyed = df.withColumn("_h", rng.sort_key(seed, "rows", *[F.col(c) for c in key_cols]))
-    return dense_index_by_hash(keyed, "_h", out, key_cols).drop("_h")
+    return dense_index_by_hash(keyed, "_h", out, key_cols, total=TOTAL).drop("_h")
 
 
 def split_226(df: DataFrame, index_col: str = "row_index") -> DataFrame:
-    """Exact split by position: test [0, n/5), dev [n/5, 2n/5), train the rest."""
-    n = df.count()
-    i = F.col(index_col)
-    return df.withColumn(
-        "split", F.when(i < n // 5, "test").when(i < (n * 2) // 5, "dev").otherwise("train")
-    ).withColumn(
-        "split_index", F.when(i < n // 5, i).when(i < (n * 2) // 5, i - n // 5).otherwise(i - (n * 2) // 5)
-    )
+    """Exact split by position: test [0, n/5), dev [n/5, 2n/5), train the rest. Rows that
+    G3 did not number (no ``row_total``) are counted."""
+    if TOTAL not in df.columns:
+        df = df.withColumn(TOTAL, F.lit(df.count()).cast("long"))
+    i, n = F.col(index_col), F.col(TOTAL)
+    fifth, two_fifths = F.floor(n / 5), F.floor(n * 2 / 5)
+    return df.withColumn("split", F.when(i < fifth, "test").when(i < two_fifths, "dev").otherwise("train")).withColumn(
+        "split_index", F.when(i < fifth, i).when(i < two_fifths, i - fifth).otherwise(i - two_fifths)).drop(TOTAL)
 
 
 def subsample(df: DataFrame, frac: float, seed: int, key_cols: list[str], out: str = "sample_index") -> DataFrame:
     """Exactly round(frac * n) rows (half to even), chosen by a second seeded order."""
-    n = df.count()
-    k = int(round(frac * n))
     keyed = df.withColumn("_h", rng.sort_key(seed, "sample", *[F.col(c) for c in key_cols]))
-    return dense_index_by_hash(keyed, "_h", out, key_cols).drop("_h").filter(F.col(out) < k)
+    numbered = dense_index_by_hash(keyed, "_h", out, key_cols, total="_total").drop("_h")
+    return numbered.filter(F.col(out) < F.rint(F.lit(float(frac)) * F.col("_total"))).drop("_total")
 
 
 def example_ids(df: DataFrame, set_type: str, index_col: str) -> DataFrame:
@@ -117,9 +121,11 @@ def single_features(df: DataFrame, text_a: str, text_b: str | None, vocab: dict,
 
 
 def classification_features(examples: DataFrame, vocab: dict, labels: DataFrame, max_seq_length: int,
-                            text_col: str = "text", label_col: str = "label", tokenize=None) -> DataFrame:
-    """Single-text features with label ids and ``is_real_example = 1``."""
-    f = single_features(examples, text_col, None, vocab, max_seq_length, tokenize)
+                            text_col: str = "text", label_col: str = "label", tokenize=None,
+                            text_b_col: str | None = None) -> DataFrame:
+    """Features of one text, or of a pair where ``text_b_col`` is given, with label ids
+    and ``is_real_example = 1``."""
+    f = single_features(examples, text_col, text_b_col, vocab, max_seq_length, tokenize)
     f = encode_label(f, labels, label_col)
     return f.withColumn("label_ids", F.col("label_id")).withColumn("is_real_example", F.lit(1))
 

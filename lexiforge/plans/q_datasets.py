@@ -198,6 +198,21 @@ def g12_pair_features(spark, sf):
     return pair_feature_table(spark, sf).select("unique_id", "tokens", "input_ids", "input_mask", "input_type_ids")
 
 
+_PAIR_LABELS = """pl2 AS (SELECT unique_id, CASE WHEN text_b IS NULL THEN 'one' ELSE 'two' END AS label FROM pp),
+pc2 AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id FROM (SELECT DISTINCT label FROM pl2) _l)"""
+
+
+@register("g10_pair_classification", with_ctes(_PAIR_FEAT_SQL + [_PAIR_LABELS], """SELECT f.unique_id, f.input_ids, f.input_mask,
+  f.input_type_ids AS segment_ids, c.label_id AS label_ids, 1 AS is_real_example
+  FROM pfeat f JOIN pl2 l USING (unique_id) JOIN pc2 c USING (label)"""))
+def g10_pair_classification(spark, sf):
+    """G10 for two texts: the label says whether the line held a second one."""
+    pairs = src.parse_pairs(pair_lines(spark, sf))
+    pairs = pairs.withColumn("label", F.when(F.col("text_b").isNull(), "one").otherwise("two"))
+    f = G.classification_features(pairs, word_dict(spark, sf), G.categories(pairs), SEQ, "text_a", text_b_col="text_b")
+    return f.select("unique_id", "input_ids", "input_mask", "segment_ids", "label_ids", "is_real_example")
+
+
 @register("h1_epochs", with_ctes(_BASE, "SELECT doc_id, CAST(e AS INTEGER) AS epoch FROM spl, range(3) t(e) WHERE split = 'train'"))
 def h1_epochs(spark, sf):
     train = split_table(spark, sf).filter(F.col("split") == "train")

@@ -137,3 +137,72 @@ def test_replayed_batch_replaces_its_rows(spark, tmp_path):
         os.remove(os.path.join(commits, f))
     run()  # the last batch runs again
     assert spark.read.parquet(out).count() == 20
+
+
+def test_subword_records_hold_what_the_pieces_say(spark):
+    """Lengths are fixed, masked labels restore the pieces, and pieces rebuild the words."""
+    from lexiforge.plans import q_corpus as Q
+    from lexiforge.plans.pretraining import PretrainingConfig, build_pretraining
+
+    s = Q.doc_sentences(spark, "/root/testdata/sf0.001").limit(400)
+    s = s.select("doc_key", "sent_no", "sentence")
+    v = vocab.train_unigram(s, size=600).cache()
+    pieces = s.select("doc_key", "sent_no", "sentence", vocab.tokenize_subword(F.col("sentence"), v).alias("tokens")).cache()
+    words = {"".join("▁" + w for w in vocab.normalize_text(r.sentence, True).split("▁")[1:]) for r in pieces.collect()}
+    assert {"".join(r.tokens) for r in pieces.collect()} == words
+    records = build_pretraining(pieces.drop("sentence").withColumn("n_tokens", F.size("tokens")), v, PretrainingConfig(dupe_factor=2)).collect()
+    name = {r.id: r.piece for r in v.collect()}
+    known = [t for r in pieces.collect() for t in r.tokens]
+    runs = {tuple(known[i : i + 2]) for i in range(len(known) - 1)}
+    assert records
+    unknown = total = 0
+    for r in records:
+        assert len(r.input_ids) == len(r.input_mask) == len(r.segment_ids) == 128 and len(r.masked_lm_positions) == 20
+        ids, n = list(r.input_ids), sum(r.input_mask)
+        for p, i, w in zip(r.masked_lm_positions, r.masked_lm_ids, r.masked_lm_weights):
+            if w:
+                ids[p] = i
+        back = [name[i] for i in ids[:n]]
+        assert back[0] == "[CLS]" and back[-1] == "[SEP]" and back.count("[SEP]") == 2
+        a = back[1 : back.index("[SEP]")]
+        assert "<unk>" in a or all(pair in runs for pair in zip(a, a[1:]))
+        unknown, total = unknown + ids[:n].count(0), total + n
+    assert unknown < 0.02 * total
+
+
+def test_reports_agree_with_sql_over_the_stored_predictions(spark):
+    """K4, K5: every figure of the reports again in DuckDB, from the predictions themselves."""
+    import duckdb
+
+    from lexiforge.operators import baseline, datasets
+    from pyspark.ml.functions import array_to_vector
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    split = datasets.split_226(datasets.shuffle_rows(e, 5, ["vec_id"]))
+    model, _ = baseline.train_head(split.where("split <> 'test'"))
+    test = split.where("split = 'test'").withColumn("_features", array_to_vector(F.col("embedding").cast("array<double>")))
+    pred = model.transform(test).select(F.col("label").cast("string").alias("label"), F.col("prediction").cast("int").cast("string").alias("predict"))
+    p = pred.toPandas()  # noqa: F841  (read by the SQL)
+    rows = duckdb.sql("""SELECT c AS class, coalesce(sum((label = c AND predict = c)::INT) / nullif(sum((predict = c)::INT), 0), 0) AS p,
+        coalesce(sum((label = c AND predict = c)::INT) / nullif(sum((label = c)::INT), 0), 0) AS r, sum((label = c)::INT) AS n
+        FROM p, (SELECT label AS c FROM p UNION SELECT predict FROM p) GROUP BY c""").fetchall()
+    got = {r["class"]: r for r in metrics.classification_report(pred).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for c, precision, recall, n in rows:
+        assert got[c].precision == pytest.approx(precision) and got[c].recall == pytest.approx(recall) and got[c].support == n
+        f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0
+        assert got[c].f1 == pytest.approx(f1)
+
+
+def test_boosted_trees_beat_the_majority(spark):
+    """K3 on terms that carry the label, with sparse rows, and a row without any term."""
+    from lexiforge.operators import baseline
+
+    rows = [(i, ("good fine nice " if i % 3 else "bad poor ugly ") + f"filler{i % 7}", "train" if i % 5 else "dev", float(i % 3 > 0)) for i in range(150)] + [(999, "", "train", 1.0)]
+    df = spark.createDataFrame(rows, "k long, text string, split string, label_index double").withColumn("is_validation", F.col("split") == "dev")
+    model = baseline.fit_tfidf(df, "k", max_features=12)
+    assert model.count() == 12
+    x = baseline.sparse_features(baseline.transform_tfidf(df, model, "k"), df, "k", 12)
+    assert x.where("k = 999").first().features.numNonzeros() == 0
+    fit = baseline.train_baseline(x, max_iter=5)
+    assert fit.transform(x).where("prediction = label_index").count() >= 149
