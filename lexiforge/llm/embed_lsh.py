@@ -192,3 +192,24 @@ def near_duplicates(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     out = left.join(per, (F.col("l._h") == F.col("r._h")) & (F.col("l.embedding") == F.col("r.embedding")), "left").select(
         "l.vec_id", F.coalesce("r.n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("r.component_id", "l.vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def oracle(s: Settings = Settings()) -> str:
+    """DuckDB SQL by comparing all pairs: what the search finds if it misses none."""
+    return f"""
+WITH RECURSIVE vecs AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+fine AS (
+  SELECT r, vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM vecs
+  WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.r AS a, b.r AS b, a.vec_id AS av, b.vec_id AS bv FROM fine a JOIN fine b ON a.r <> b.r AND len(a.e) = len(b.e)
+    AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= {s.threshold}),
+reach AS (
+  SELECT a, b, bv FROM links UNION SELECT reach.a, links.b, links.bv FROM reach JOIN links ON links.a = reach.b),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+low AS (SELECT a, min(bv) AS m FROM reach GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, least(v.vec_id, coalesce(l.m, v.vec_id)) AS component_id,
+  v.vec_id IS NOT DISTINCT FROM least(v.vec_id, coalesce(l.m, v.vec_id)) AS kept
+FROM vecs v LEFT JOIN counts c ON c.a = v.r LEFT JOIN low l ON l.a = v.r"""

@@ -8,8 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
-from .common import read_docs
+from .common import prepare, read_docs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,7 +39,7 @@ from . import chain_dedup, ctph, embed_lsh, langid_gru, pack_bestfit, pareto_mix
 from . import toxicity, url_templates, warc_revisit  # noqa: E402
 
 
-@query("op1_url_templates")
+@query("op1_url_templates", url_templates.oracle())
 def op1_url_templates(spark, sf_dir):
     """A page's label is that of the document that it shows, which is the last number of its
     path: good if of quality and not toxic."""
@@ -61,7 +60,7 @@ def op3_revisit_resolution(spark, sf_dir):
                             "date": h["date"]}).drop("headers")
 
 
-@query("op4_embedding_lsh")
+@query("op4_embedding_lsh", embed_lsh.oracle())
 def op4_embedding_lsh(spark, sf_dir):
     return embed_lsh.near_duplicates(read_docs(spark, sf_dir, "embeddings"))
 

@@ -152,4 +152,54 @@ def filter_urls(urls: DataFrame, rules: tuple[Rule, ...] = RULES, s: Settings =
     known = trees.alias("l").join(verdicts.alias("r"), on).select("l.host", "l.segs", "l.template", "r.purity", "r.verdict")
     on = (F.col("l.host") == F.col("r.host")) & (F.col("l.segs") == F.col("r.segs"))
     return x.alias("l").join(known.alias("r"), on).select(
-        "l.page_id", "l.host", "l.path", "l.rule", F.coalesce("l.fixed", "r.verdict").alias("verdict"), "r.template", "r.purity")
+        "l.page_id", "l.host", "l.path", "l.rule", F.coalesce("l.fixed", "r.verdict").alias("verdict"), "r.template", F.round("r.purity", 9).alias("purity"))
+
+
+def oracle(rules: tuple[Rule, ...] = RULES, s: Settings = Settings()) -> str:
+    """DuckDB SQL for the query: ``filter_urls`` over ``pages`` with the labels of the documents
+    that they show. One block of tables per level, down to the greatest depth."""
+    var = "'" + VARIABLE + "'"
+    kind = lambda x: f"CASE WHEN {x} IS NULL THEN 'end' WHEN regexp_matches({x}, {var}) THEN 'variable' ELSE 'word' END"
+    fit = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    ordered = sorted(rules, key=lambda r: (-len(r.host) - len(r.path), r.host, r.path))
+    rule = " ".join(f"WHEN {fit(r)} THEN '{r.host}{r.path}'" for r in ordered)
+    verdict = " ".join(f"WHEN {fit(r)} THEN '{r.verdict}'" for r in ordered)
+    d = s.depth
+    ctes = [
+        """good AS (SELECT doc_id, min(CAST(coalesce(quality = 1 AND coalesce(toxic, 0) = 0, NULL) AS INTEGER)) AS good
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id)""",
+        """rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages)""",
+        r"""parts AS (SELECT page_id, translate(regexp_extract(coalesce(r, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(r, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM rest)""",
+        r"""numbered AS (SELECT *, TRY_CAST(nullif(regexp_extract(path, '/(\d{1,18})(\.\w+)?/*$', 1), '') AS BIGINT) AS shown,
+  list_filter(string_split(path, '/'), lambda x: x <> '') AS a FROM parts)""",
+        f"""pg AS (SELECT page_id, host, path, good, CASE {rule} END AS rule, CASE {verdict} END AS fixed,
+  CASE WHEN len(a) < {d} THEN a ELSE list_append(list_slice(a, 1, {d - 1}), array_to_string(list_slice(a, {d}, len(a)), '/')) END AS segs
+  FROM numbered LEFT JOIN good ON shown = doc_id)""",
+        "x0 AS (SELECT host, segs, count(*) AS n, count(good) AS labelled, coalesce(sum(good), 0) AS good, '' AS template FROM pg GROUP BY host, segs)",
+    ]
+    for i in range(d):
+        ctes += [
+            f"""c{i} AS (SELECT host, template, segs[{i + 1}] AS seg, sum(n) AS n, sum(labelled) AS l, sum(good) AS g,
+  sum(CASE WHEN nx = 'end' THEN n ELSE 0 END) AS e, sum(CASE WHEN nx = 'variable' THEN n ELSE 0 END) AS v, sum(CASE WHEN nx = 'word' THEN n ELSE 0 END) AS w
+  FROM (SELECT *, {kind(f"segs[{i + 2}]")} AS nx FROM x{i} WHERE len(segs) > {i}) _a GROUP BY host, template, segs[{i + 1}])""",
+            f"""p{i} AS (SELECT host, template, count(*) AS k, max(n) AS top, sum(n) AS pn, sum(l) AS pl, sum(g) AS pg, sum(e) AS pe, sum(v) AS pv, sum(w) AS pw
+  FROM c{i} WHERE NOT regexp_matches(seg, {var}) GROUP BY host, template)""",
+            f"""n{i} AS (SELECT host, template, seg, CASE WHEN regexp_matches(seg, {var}) THEN '{{n}}'
+  WHEN k >= {s.children} AND top <= {s.share} * pn THEN '{{*}}'
+  WHEN k > 1 AND (abs(e / n - pe / pn) + abs(v / n - pv / pn) + abs(w / n - pw / pn)) / 2 <= {s.spread}
+    AND abs((g + 0.5) / (l + 1) - (pg + 0.5) / (pl + 1)) / sqrt((pg + 0.5) / (pl + 1) * (1 - (pg + 0.5) / (pl + 1)) * (1.0 / (l + 1) + 1.0 / (pl + 1))) <= {s.z}
+  THEN '{{=}}' ELSE seg END AS name FROM c{i} LEFT JOIN p{i} USING (host, template))""",
+            f"""x{i + 1} AS (SELECT x.host, x.segs, x.n, x.labelled, x.good, CASE WHEN m.name IS NULL THEN x.template ELSE x.template || '/' || m.name END AS template
+  FROM x{i} x LEFT JOIN n{i} m ON m.host = x.host AND m.template = x.template AND m.seg = x.segs[{i + 1}])""",
+        ]
+    ctes += [
+        f"t AS (SELECT host, template, sum(labelled) AS labelled, sum(good) AS good FROM x{d} GROUP BY host, template)",
+        f"""h AS (SELECT host, (sum(good) + {s.alpha} * (SELECT CASE WHEN sum(labelled) > 0 THEN (sum(good) + 1.0) / (sum(labelled) + 1.0) ELSE 1.0 END FROM t))
+  / (sum(labelled) + {s.alpha}) AS hp FROM t GROUP BY host)""",
+        f"j AS (SELECT host, template, least((good + {s.alpha} * hp) / (labelled + {s.alpha}), 1.0) AS purity FROM t JOIN h USING (host))",
+    ]
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT pg.page_id, pg.host, pg.path, pg.rule, coalesce(pg.fixed, CASE WHEN j.purity >= {s.purity} THEN 'allow' ELSE 'block' END) AS verdict,
+  x.template, round(j.purity, 9) AS purity
+FROM pg JOIN x{d} x ON x.host = pg.host AND x.segs = pg.segs JOIN j ON j.host = x.host AND j.template = x.template"""
