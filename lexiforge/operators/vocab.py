@@ -32,6 +32,9 @@ WORD_START = "▁"
 MAX_VOCAB_COLLECT = 2_000_000  # a vocabulary above this is not broadcast
 
 
+BLOCK_CHARS = 1024  # characters of a long word looked at together in E1b
+
+
 # --- E1a / E1b: counts ------------------------------------------------------------
 
 def word_counts(sentences: DataFrame, text_col: str = "sentence", lower: bool = True) -> DataFrame:
@@ -47,19 +50,15 @@ def candidate_substrings(words: DataFrame, max_len: int = 16, min_len: int = 1)
     """Substrings (up to ``max_len`` characters) of ``▁word`` with their
     corpus counts: each occurrence in a word counts the word's frequency."""
     w = F.concat(F.lit(WORD_START), F.col("word"))
-    n = F.length(w)
-    starts = F.sequence(F.lit(1), n)
-    pairs = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(
-                F.sequence(F.lit(min_len), F.least(F.lit(max_len), n - i + 1)),
-                lambda L: F.substring(w, i, L),
-            ),
-        )
-    )
+    # Taken from blocks of a long word, and lengths from the piece at a start: a substring
+    # counts characters from the left, so its cost is that of what it is taken from.
+    firsts = F.sequence(F.lit(0), F.floor((F.length(w) - 1) / BLOCK_CHARS).cast("int"))
+    blocks = words.select("n", F.explode(F.transform(firsts, lambda b: F.substring(w, b * BLOCK_CHARS + 1, F.lit(BLOCK_CHARS + max_len - 1)))).alias("b"))
+    starts = F.sequence(F.lit(1), F.least(F.length("b"), F.lit(BLOCK_CHARS)))
+    at = blocks.select("n", F.explode(F.transform(starts, lambda i: F.substring("b", i, F.lit(max_len)))).alias("p"))
+    lengths = F.when(F.length("p") >= min_len, F.sequence(F.lit(min_len), F.length("p")))
     return (
-        words.select(F.explode(pairs).alias("piece"), F.col("n"))
+        at.select(F.explode(F.transform(lengths, lambda k: F.substring("p", F.lit(1), k))).alias("piece"), "n")
         .groupBy("piece")
         .agg(F.sum("n").cast("long").alias("n"))
     )

@@ -206,3 +206,18 @@ def test_boosted_trees_beat_the_majority(spark):
     assert x.where("k = 999").first().features.numNonzeros() == 0
     fit = baseline.train_baseline(x, max_iter=5)
     assert fit.transform(x).where("prediction = label_index").count() >= 149
+
+
+def test_substrings_of_long_words(spark):
+    """Every substring of up to four characters counts, also across the blocks of a long word."""
+    from collections import Counter
+
+    rows = [("abcabc", 2), ("x", 5), ("".join("abcd"[i * i % 4] for i in range(2500)), 1)]
+    want = Counter()
+    for w, n in rows:
+        w = "▁" + w
+        for i in range(len(w)):
+            for k in range(1, min(4, len(w) - i) + 1):
+                want[w[i : i + k]] += n
+    got = vocab.candidate_substrings(spark.createDataFrame(rows, "word string, n long"), max_len=4).collect()
+    assert {r.piece: r.n for r in got} == want
