@@ -6,7 +6,8 @@ its n-grams with the word it stands for. A passage's vector is the sum of its
 distinct words' vectors over its word count (a word said fifty times says no more than
 once, so junk that repeats a word is not toxic for it) and a linear softmax labels it; table and softmax are trained jointly in numpy. A document is
 as toxic as its worst passage, so a few words in a long text are not averaged away: labels
-are of documents, and in each epoch a document stands by its worst passage so far.
+are of documents, and in each epoch a document stands by its worst passage so far (in the first
+ones by the passage whose words are most typical of toxic documents, by a test of shares).
 
 The model is linear after the mean, so scoring needs one number per distinct word; a
 passage is a mean of them. Every word of every text is scored. Fitting uses a bounded
@@ -41,6 +42,8 @@ class Settings:
     per_class: int = 3000
     max_train_chars: int = 60_000
     epochs: int = 8
+    least_steps: int = 800
+    guided_epochs: int = 3
     batch: int = 64
     rate: float = 0.5
     seed: int = 11
@@ -100,7 +103,7 @@ def passage_means(words: np.ndarray, value: np.ndarray, passage: int) -> np.ndar
 
 
 def train(texts: list[str], toxic: list[int], s: Settings = Settings()) -> Model:
-    """Stochastic gradient descent with momentum-free adaptive steps on table and softmax."""
+    """Stochastic gradient descent, table and softmax together; equal input gives an equal model."""
     y_doc = np.asarray(toxic, np.int64)
     if not len(texts) or y_doc.min() == y_doc.max():
         p = float(y_doc.mean()) if len(y_doc) else 0.0
@@ -112,16 +115,22 @@ def train(texts: list[str], toxic: list[int], s: Settings = Settings()) -> Model
     end = np.append(start[1:], len(bucket))
     table = rng.uniform(-1.0 / s.dim, 1.0 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     soft, bias = np.zeros((s.dim, 2), np.float32), np.zeros(2, np.float32)
-    g_table, g_soft, g_bias = np.full(s.buckets, 1e-6, np.float32), np.full(soft.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
+    g_soft, g_bias, largest = np.full(soft.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32), 0.0
     counts = [max(1, -(-len(d) // s.passage)) for d in docs]
-    for epoch in range(s.epochs):
-        worth = np.add.reduceat(table[bucket] @ (soft[:, 1] - soft[:, 0]), start) / (end - start)
+    # How far the share of toxic documents that hold a word lies above the others', in deviations.
+    held = [np.bincount(np.concatenate([np.unique(d) for d, y in zip(docs, y_doc) if y == c] or [np.empty(0, np.int64)]), minlength=len(vocab)) for c in (0, 1)]
+    n = np.bincount(y_doc, minlength=2)
+    pooled = (held[0] + held[1] + 1) / (n.sum() + 2)
+    typical = np.maximum(held[1] / n[1] - held[0] / n[0], 0) ** 2 / (pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]))
+    # Few documents go round more often, so that every model gets ``least_steps`` steps.
+    for epoch in range(max(s.epochs, -(-s.least_steps * s.batch // len(docs)))):
+        worth = typical if epoch < s.guided_epochs else np.add.reduceat(table[bucket] @ (soft[:, 1] - soft[:, 0]), start) / (end - start)
         pick = []
         for i, d in enumerate(docs):
             if not len(d):
                 pick.append((i, 0, 0))
                 continue
-            if epoch and counts[i] > 1:
+            if counts[i] > 1:
                 v = worth[d]
                 best = int(np.argmax(passage_means(d, v, s.passage)))
                 pick.append((i, best * s.passage, min(len(d), (best + 1) * s.passage)))
@@ -158,9 +167,11 @@ def train(texts: list[str], toxic: list[int], s: Settings = Settings()) -> Model
             uniq, where = np.unique(b, return_inverse=True)
             g = np.zeros((len(uniq), s.dim), np.float32)
             np.add.at(g, where, d_hidden[passage[owner]] * share[:, None])
-            g_table[uniq] += (g * g).mean(axis=1)
-            if epoch or at:  # the softmax moves first
-                table[uniq] -= s.rate * g / np.sqrt(g_table[uniq])[:, None]
+            # One step size for the whole table: what rarely occurs moves little, so the words
+            # that happen to stand beside toxic ones are not learned by heart.
+            largest = max(largest * 0.98, float(np.abs(g).max()) if len(g) else 0.0)
+            if largest:
+                table[uniq] -= s.rate * g / largest
             soft -= s.rate * gs / np.sqrt(g_soft)
             bias -= s.rate * 0.2 * gb / np.sqrt(g_bias)
     return Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))

@@ -39,7 +39,7 @@ def test_grams():
 def test_learns_and_scores(spark, frame):
     rng = random.Random(1)
     rows, lab = [], []
-    for i in range(500):
+    for i in range(1200):
         bad = rng.random() < 0.3
         rows.append((i, text(rng, 3 * bad, rng.choice([20, 100, 900]))))
         lab.append((i, int(bad)))
