@@ -144,7 +144,7 @@ def test_subword_records_hold_what_the_pieces_say(spark):
     from lexiforge.plans import q_corpus as Q
     from lexiforge.plans.pretraining import PretrainingConfig, build_pretraining
 
-    s = Q.doc_sentences(spark, "/root/testdata/sf0.001").limit(400)
+    s = Q.doc_sentences(spark, "/root/testdata/sf0.001").where("doc_key < 20")  # whole documents
     s = s.select("doc_key", "sent_no", "sentence")
     v = vocab.train_unigram(s, size=600).cache()
     pieces = s.select("doc_key", "sent_no", "sentence", vocab.tokenize_subword(F.col("sentence"), v).alias("tokens")).cache()
@@ -152,7 +152,7 @@ def test_subword_records_hold_what_the_pieces_say(spark):
     assert {"".join(r.tokens) for r in pieces.collect()} == words
     records = build_pretraining(pieces.drop("sentence").withColumn("n_tokens", F.size("tokens")), v, PretrainingConfig(dupe_factor=2)).collect()
     name = {r.id: r.piece for r in v.collect()}
-    known = [t for r in pieces.collect() for t in r.tokens]
+    known = [t for r in pieces.orderBy("doc_key", "sent_no").collect() for t in r.tokens]
     runs = {tuple(known[i : i + 2]) for i in range(len(known) - 1)}
     assert records
     unknown = total = 0
