@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import cut_lineage, prepare, scratch_path
+from ..session import cut_lineage, scratch_path
+from ..session import prepare as _prepare
 
-__all__ = ["prepare", "scratch_path", "cut_lineage", "read_docs", "parallelism", "components", "star_forest",
+__all__ = ["prepare", "scratch_path", "cut_lineage", "read_docs", "release", "parallelism", "components", "star_forest",
            "running_sums", "word_bounds", "SPACE"]
 
 #: Lookup by byte: true for 0x20 and 0x09-0x0D, the white space of every contract here.
@@ -17,6 +18,35 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+#: Rows of an Arrow batch: texts are long, and a Python worker holds a batch as objects.
+BATCH_ROWS = 500
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """What a job of this subpackage needs from the session: the library's own needs, and
+    Arrow batches of no more than ``BATCH_ROWS`` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return _prepare(spark)
+
+
+def release() -> None:
+    """Give freed memory back to the system at the end of a task: Python workers live on
+    between tasks, and what their allocators keep adds up over the stages of a job."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def read_docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import release
+
 UND = "und"
 
 
@@ -158,7 +160,7 @@ def train(windows: list[bytes], labels: list[str], s: Settings = Settings()) ->
 class Scorer:
     """Pooled probabilities of whole texts; states of many windows go step by step together."""
 
-    LANES = 2048
+    LANES = 1024
 
     def __init__(self, net: Network, window: int):
         self.net, self.window = net, window
@@ -304,6 +306,7 @@ def predict(docs: DataFrame, net: Network | None, s: Settings = Settings()) -> D
             best = p.argmax(axis=1) if len(p) else np.empty(0, np.int64)
             score = np.clip(p[np.arange(len(p)), best], 0.0, 1.0)
             yield pd.DataFrame({"lang_pred": [langs[i] for i in best], "score": score})
+        release()
 
     got = docs.withColumn("_lid", label("text"))
     ok = letters(F.col("text"))

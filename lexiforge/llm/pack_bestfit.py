@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, parallelism, running_sums, scratch_path
+from .common import release, running_sums, scratch_path
 
 CAPACITY = 2048
 END_ID = 0
 #: Cached chunks per worker; the cache is emptied when it is full.
-CACHE = 500_000
+CACHE = 150_000
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -108,12 +108,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer)
+        yield from cut_with(enc, batches)
+        enc.cache.clear()
+        release()
+
+    def cut_with(enc: Encoder, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = [t if t is not None else "" for t in b["text"]]
             at = 0
             while at < len(texts):  # some MB of text at a time
                 to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) < 2_000_000):
+                while to < len(texts) and (to == at or size + len(texts[to]) < 1_000_000):
                     size += len(texts[to])
                     to += 1
                 out: list[tuple] = []

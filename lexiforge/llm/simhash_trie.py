@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut_lineage, parallelism, star_forest
+from .common import components, cut_lineage, parallelism, release, star_forest
 
 BLOCK_BITS = 16
 #: Pairs of a node pair beyond which it is opened further.
@@ -63,8 +63,10 @@ def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
     """(doc_id, fp long) of every row."""
 
     @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash(t, n) for t in texts], dtype="int64")
+    def fp(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([simhash(t, n) for t in texts], dtype="int64")
+        release()
 
     return docs.select("doc_id", fp("text").alias("fp"))
 
@@ -210,6 +212,7 @@ def trie_links(fps: DataFrame, budget: int = 3) -> DataFrame:
         if rest is not None and len(rest):
             a_, b_ = _join_units(rest, budget)
             yield pd.DataFrame({"a": a_, "b": b_})
+        release()
 
     placed = out.repartition(parallelism(spark), "k", "depth", "pa", "pb").sortWithinPartitions("k", "depth", "pa", "pb")
     return placed.mapInPandas(join, "a long, b long")
