@@ -110,21 +110,27 @@ def train(texts: list[str], toxic: list[int], s: Settings = Settings()) -> Model
         return Model(np.zeros(s.buckets, np.float32), float(np.log((p + 1e-9) / (1 - p + 1e-9))))
     rng = np.random.default_rng(s.seed)
     vocab: dict[str, int] = {}
-    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], np.int64) for t in texts]
-    bucket, start = grams(list(vocab), s)
-    end = np.append(start[1:], len(bucket))
+    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], np.int32) for t in texts]
+    blocks, names = [], list(vocab)
+    for at in range(0, len(names), 20_000):  # n-grams of some words at a time
+        b, first = grams(names[at : at + 20_000], s)
+        blocks.append((b.astype(np.int32), np.diff(np.append(first, len(b)))))
+    bucket, size = (np.concatenate([b[i] for b in blocks]) for i in (0, 1))
+    end = np.cumsum(size)
+    start, words = end - size, len(names)
+    del vocab, names, blocks
     table = rng.uniform(-1.0 / s.dim, 1.0 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     soft, bias = np.zeros((s.dim, 2), np.float32), np.zeros(2, np.float32)
     g_soft, g_bias, largest = np.full(soft.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32), 0.0
     counts = [max(1, -(-len(d) // s.passage)) for d in docs]
     # How far the share of toxic documents that hold a word lies above the others', in deviations.
-    held = [np.bincount(np.concatenate([np.unique(d) for d, y in zip(docs, y_doc) if y == c] or [np.empty(0, np.int64)]), minlength=len(vocab)) for c in (0, 1)]
+    held = [np.bincount(np.concatenate([np.unique(d) for d, y in zip(docs, y_doc) if y == c] or [np.empty(0, np.int32)]), minlength=words) for c in (0, 1)]
     n = np.bincount(y_doc, minlength=2)
     pooled = (held[0] + held[1] + 1) / (n.sum() + 2)
     typical = np.maximum(held[1] / n[1] - held[0] / n[0], 0) ** 2 / (pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]))
     # Few documents go round more often, so that every model gets ``least_steps`` steps.
     for epoch in range(max(s.epochs, -(-s.least_steps * s.batch // len(docs)))):
-        worth = typical if epoch < s.guided_epochs else np.add.reduceat(table[bucket] @ (soft[:, 1] - soft[:, 0]), start) / (end - start)
+        worth = typical if epoch < s.guided_epochs else np.add.reduceat((table @ (soft[:, 1] - soft[:, 0]))[bucket], start) / (end - start)
         pick = []
         for i, d in enumerate(docs):
             if not len(d):
@@ -145,8 +151,8 @@ def train(texts: list[str], toxic: list[int], s: Settings = Settings()) -> Model
             size = np.array([b - a for _, a, b in rows])
             y = y_doc[[i for i, _, _ in rows]]
             word = np.concatenate([docs[i][a:b] for i, a, b in rows]) if size.sum() else np.empty(0, np.int64)
-            distinct = np.unique(np.repeat(np.arange(len(rows)), size) * len(vocab) + word)
-            passage, word = distinct // len(vocab), distinct % len(vocab)
+            distinct = np.unique(np.repeat(np.arange(len(rows)), size) * words + word)
+            passage, word = distinct // words, distinct % words
             n = end[word] - start[word]
             owner = np.repeat(np.arange(len(word)), n)
             at_gram = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + start[word][owner] if len(word) else np.empty(0, np.int64)
