@@ -45,7 +45,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 class Encoder:
     """Ids of whole texts as little-endian uint32 bytes, equal to those of the ``tokenizers``
-    file (a byte-level BPE whose ids follow its merges); special tokens in a text are text.
+    file (a byte-level BPE whose ids follow its merges). ``encode`` takes the file's added tokens
+    in a text as text, ``encode_added`` gives them their own ids, as the file's defaults do.
 
     The vocabulary's pre-tokenizer never joins a space to what stands before it unless that
     is white space too, so a text may be cut before every space that follows
@@ -58,7 +59,14 @@ class Encoder:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
+        added = {a["content"]: a for a in file.get("added_tokens", [])}
+        if any(a["single_word"] or a["lstrip"] or a["rstrip"] for a in added.values()):
+            raise ValueError(f"{path}: added tokens that take in what is around them")
+        self.added = {c: struct.pack("<I", a["id"]) for c, a in added.items()}
+        # The longest first: of tokens that start at one place it is the one that is matched.
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         # Byte-level files write each byte as a printable character.
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(shown)]
@@ -87,6 +95,13 @@ class Encoder:
             known[c] = struct.pack(f"<{len(new)}I", *new)
         return [b"".join([known[c] for c in part]) for part in lists]
 
+    def encode_added(self, texts: list[str]) -> list[bytes]:
+        if self.split is None:
+            return self.encode(texts)
+        parts = [self.split.split(t) if self.split.search(t) else [t] for t in texts]
+        between = iter(self.encode([p for part in parts for p in part[::2]]))
+        return [b"".join([self.added[p] if i % 2 else next(between) for i, p in enumerate(part)]) for part in parts]
+
 
 SPACES = re.compile(r"\s ")
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
@@ -122,7 +137,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     size += len(texts[to])
                     to += 1
                 out: list[tuple] = []
-                for doc, raw in zip(b["doc_id"].iloc[at:to], enc.encode(texts[at:to])):
+                for doc, raw in zip(b["doc_id"].iloc[at:to], enc.encode_added(texts[at:to])):
                     raw += end
                     n = len(raw) // 4
                     first = n % capacity or capacity

@@ -52,6 +52,21 @@ def test_encoder_equals_the_tokenizer():
     assert got == [np.asarray(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_pieces_equal_the_tokenizer_as_it_is_loaded(spark, frame):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    rng = random.Random(4)
+    atoms = [" ", "  ", "\n", "a", "é", ".", "'s", "9", "\x85", "　", "<|endoftext|>", "<|endoftext|", "|>", "日", "word", " next"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> ", *("".join(rng.choice(atoms) for _ in range(rng.randint(0, 40))) for _ in range(400))]
+    ids = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert ids[0] == [64, 220, 50256, 275]
+    out = {r.doc_id: r for r in pb.pieces(frame(list(enumerate(texts))), PATH).collect()}
+    for i, one in enumerate(ids):
+        raw = np.asarray([*one, pb.END_ID], "<u4").tobytes()
+        assert (out[i].length, out[i].ids_crc32) == (len(one) + 1, zlib.crc32(raw))
+
+
 def test_documents(spark, frame):
     rng = random.Random(2)
     texts = [" ".join("abcdefgh"[: rng.randint(1, 8)] for _ in range(rng.randint(0, 300))) for _ in range(120)]
