@@ -7,8 +7,9 @@ uniform number, and taken in that order until the words still missing are reache
 document at the edge is taken if that comes nearer). A ``weight`` column makes the expected
 copies unequal inside a source, in proportion to it.
 
-Ranks are never computed in one task: running sums go over nested ranges of the rank
-(``common.running_sums``), so a source that holds a third of all rows is spread.
+Running sums go over nested ranges (``common.running_sums``) of ``u`` where all documents of a
+source have one weight, so a source that holds a third of all rows is spread; with a
+``weight`` they go over ranges of the rank, which may be uneven.
 
 Defined results: null text has size 0; a null source is a source of its own, placed last;
 a source of size 0 takes nothing; rows that share id, source, size (and weight) are one draw
@@ -84,7 +85,11 @@ def draws(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int
     x = x.withColumn("rank", F.when(F.col("p") > 0, odds / (1 + odds)).otherwise(F.lit(1.0)))
     x = cut_lineage(x.withColumn("certain", F.col("whole") * F.col("all")))
     certain = x.groupBy("source").agg(F.sum("certain").alias("certain_size"))
-    x = running_sums(x, ["source"], "rank", ["doc_id", "size", "own"], "all", "before")
+    # Equal chances in a source: the draw itself has the order of the ranks, and spreads evenly
+    # over the ranges, which ranks do not (near 0 or 1 where p is near 1 or 0, all 1 where it is 0).
+    # Without a rest (p = 0) nothing is drawn, so such rows need no sum.
+    drawn = running_sums(x.where("p > 0"), ["source"], "u" if weight is None else "rank", ["doc_id", "size", "own"], "all", "before")
+    x = drawn.unionByName(x.where("p = 0").withColumn("before", F.lit(0).cast("long")))
     x = x.alias("l").join(certain.alias("r"), F.col("l.source").eqNullSafe(F.col("r.source"))).select("l.*", "r.certain_size")
     more = (F.col("p") > 0) & (F.col("before") + F.col("all") / 2 <= F.col("target") - F.col("certain_size"))
     return x.select("doc_id", "source", "size", "own", "n", "source_size", "target", (F.col("whole") + more.cast("long")).alias("copies"))

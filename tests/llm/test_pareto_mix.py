@@ -65,3 +65,22 @@ def test_unequal_weights(spark, frame):
     for r in pm.mix(df, weight="quality").collect():
         got[r.source, r.doc_id % 2] += r.taken
     assert got["s", 0] > 1.8 * got["s", 1] and got["t", 0] > 1.8 * got["t", 1]
+
+
+def test_running_sums_get_even_ranges(spark, frame, monkeypatch):
+    """A source capped at three copies draws nothing; the others' ranges are evenly filled."""
+    seen = []
+    sums = pm.running_sums
+
+    def spy(df, group, unit, *rest):
+        seen.extend((r.source, r.unit) for r in df.selectExpr("source", f"{unit} as unit").collect())
+        return sums(df, group, unit, *rest)
+
+    monkeypatch.setattr(pm, "running_sums", spy)
+    rows = [(i, "w" if i % 3 == 0 else "w " * 30, None, "abc"[i % 3]) for i in range(1200)]
+    out = pm.mix(frame(rows)).collect()
+    capped = {r.source for r in out if r.target == 3 * r.source_size}
+    assert capped and all(r.copies == 3 for r in out if r.source in capped) and not capped & {s for s, _ in seen}
+    for s in {"a", "b", "c"} - capped:
+        units = [u for t, u in seen if t == s]
+        assert len(units) == 400 and max(sum(i / 10 <= u < (i + 1) / 10 for u in units) for i in range(10)) < 80
