@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import lines_df
+from line_tables import lines_df
 from lexiforge.functions.text import infer_value, strip_unicode
 from lexiforge.operators import clean, datasets, documents, masking, metrics, sequences, vectors, vocab
 from lexiforge.sources import tables, text as src

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import lines_df
+from line_tables import lines_df
 from lexiforge.functions.text import ltrim_spaces, rtrim_spaces
 from lexiforge.operators import clean, metrics, vocab
 from lexiforge.sources import tables
