@@ -35,8 +35,8 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-from . import chain_dedup, ctph, embed_lsh, langid_gru, pack_bestfit, pareto_mix, simhash_trie  # noqa: E402
-from . import toxicity, url_templates, warc_revisit  # noqa: E402
+from . import chain_dedup, ctph, embed_lsh, langid_gru, pack_bestfit, pareto_mix, periodic_runs  # noqa: E402
+from . import simhash_trie, toxicity, url_templates, warc_revisit  # noqa: E402
 
 
 @query("op1_url_templates", url_templates.oracle())
@@ -109,3 +109,9 @@ def op9_simhash_trie(spark, sf_dir):
 def op10_chained_passages(spark, sf_dir):
     out = chain_dedup.passages(read_docs(spark, sf_dir).select("doc_id", "text"))
     return out.drop("text_hash")
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    docs = read_docs(spark, sf_dir).select("doc_id", "text")
+    return periodic_runs.digests(periodic_runs.find_runs(docs, edit=periodic_runs.planted_tail))
