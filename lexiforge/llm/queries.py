@@ -36,7 +36,7 @@ def tokenizer_path() -> str:
 
 
 from . import chain_dedup, ctph, embed_lsh, langid_gru, pack_bestfit, pareto_mix, periodic_runs  # noqa: E402
-from . import simhash_trie, toxicity, url_templates, warc_revisit  # noqa: E402
+from . import simhash_trie, topk_nra, toxicity, url_templates, warc_revisit, whitening  # noqa: E402
 
 
 @query("op1_url_templates", url_templates.oracle())
@@ -111,6 +111,16 @@ def op10_chained_passages(spark, sf_dir):
     return out.drop("text_hash")
 
 
+@query("op11_topk_nra", topk_nra.oracle())
+def op11_topk_nra(spark, sf_dir):
+    return topk_nra.top_k(read_docs(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_whitening")
+def op12_whitening(spark, sf_dir):
+    return whitening.by_component(whitening.whiten(read_docs(spark, sf_dir, "embeddings")))
+
+
 @query("op13_periodic_runs")
 def op13_periodic_runs(spark, sf_dir):
     docs = read_docs(spark, sf_dir).select("doc_id", "text")
