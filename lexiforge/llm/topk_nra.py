@@ -165,7 +165,7 @@ class Cell:
             self.keys += part["key"].to_list()
             self.q += part["x"].to_list()
             return
-        if not self.q:  # no query of this length
+        if not self.keys:  # no query of this length
             return
         for lo in range(0, len(part), self.s.block):
             self.waiting.append(part.iloc[lo : lo + self.s.block])
