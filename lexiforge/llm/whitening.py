@@ -8,8 +8,8 @@ every sum of two dimensions, and cross-covariances are differences of these vari
 * The fit list is each distinct vector once. Centring takes the whole part ``m`` of the mean out of each
   value first, so squares stay small. With ``n`` rows, ``S`` their sum and ``r = S - n m``,
   ``sum (n x - S)^2 = n^2 sum (x - m)^2 - n r^2``, which is settled in whole numbers of any size.
-* A task adds up its batches and returns one number per dimension and pair of dimensions; Spark adds those up, so the
-  driver gets ``d (d + 1) / 2`` numbers whatever the number of rows.
+* A task adds up its batches and returns one row with a number per dimension and pair of dimensions; a fixed number
+  of tasks add up these rows, so the driver gets that many rows whatever the size of the table.
 * Eigenvectors of ``eigh`` are refined by Jacobi rotations in extended precision, so that small
   eigenvalues beside large ones keep their relative precision.
 
@@ -70,21 +70,37 @@ def whole_numbers(vectors: DataFrame, s: Settings) -> DataFrame:
     return vectors.select("vec_id", "embedding").where(usable(F.col("embedding"))).select("vec_id", x.alias("x"))
 
 
-def _totals(x: DataFrame, part: Callable[[np.ndarray], np.ndarray]) -> list[int]:
-    """Exact sums over all rows of what ``part`` returns for a matrix of rows: whole numbers, one per index."""
+#: Tasks that add up the sums of all tasks before the driver gets one row of each.
+MERGES = 16
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _totals(x: DataFrame, part: Callable[[np.ndarray], np.ndarray], kind: str = "decimal(38, 0)") -> list:
+    """Sums over all rows of what ``part`` returns for a matrix of rows: exact whole numbers, or doubles. A
+    task gives one row of sums, a few tasks add these up, and the driver gets their rows."""
+    exact = kind != "double"
+
+    def pack(total) -> pd.DataFrame:
+        return pd.DataFrame({"t": [[Decimal(int(v)) for v in total] if exact else list(total)]})
+
+    def add(batches: Iterator[pd.DataFrame], column: str) -> Iterator[pd.DataFrame]:
         total = None
         for b in batches:
-            if len(b):
-                t = part(np.array(b["x"].to_list(), np.int64)).astype(object)
-                total = t if total is None else total + t
+            if not len(b):
+                continue
+            if column == "x":
+                t = part(np.array(b["x"].to_list(), np.int64))
+                t = t.astype(object) if exact else t
+            else:
+                t = sum(np.array([int(v) for v in r], object) if exact else np.asarray(r) for r in b["t"])
+            total = t if total is None else total + t
         if total is not None:
-            yield pd.DataFrame({"i": np.arange(len(total)), "t": [Decimal(int(v)) for v in total]})
+            yield pack(total)
         release()
 
-    rows = x.mapInPandas(run, "i long, t decimal(38, 0)").groupBy("i").agg(F.sum("t").alias("t")).collect()
-    return [int(r["t"]) for r in sorted(rows, key=lambda r: r["i"])]
+    schema = f"t array<{kind}>"
+    sums = x.mapInPandas(lambda batches: add(batches, "x"), schema)
+    rows = sums.repartition(MERGES).mapInPandas(lambda batches: add(batches, "t"), schema).collect()
+    return [sum(int(v) if exact else v for v in c) for c in zip(*(r["t"] for r in rows))]
 
 
 def _centred(x: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -199,17 +215,11 @@ def _identity_error(x: DataFrame, m: Whitening) -> float | None:
         return None
     upper = np.triu_indices(k)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(k + len(upper[0]))
-        for b in batches:
-            if len(b):
-                w = project(np.array(b["x"].to_list(), np.int64), m)
-                total += np.concatenate((w.sum(axis=0), (w.T @ w)[upper]))
-        yield pd.DataFrame({"i": np.arange(len(total)), "t": total})
-        release()
+    def part(rows: np.ndarray) -> np.ndarray:
+        w = project(rows, m)
+        return np.concatenate((w.sum(axis=0), (w.T @ w)[upper]))
 
-    rows = x.mapInPandas(run, "i long, t double").groupBy("i").agg(F.sum("t").alias("t")).collect()
-    t = np.array([r["t"] for r in sorted(rows, key=lambda r: r["i"])]) / m.n
+    t = np.array(_totals(x, part, "double")) / m.n
     mean, second = t[:k], t[k:]
     return float(np.abs(second - mean[upper[0]] * mean[upper[1]] - (upper[0] == upper[1])).max())
 
