@@ -1,16 +1,15 @@
 """Vocabulary and tokenising.
 
-Counting (E1a, E1b) and id assignment (E2) are aggregates. The unigram EM (E1c) runs
-``mapInPandas`` over the distributed word-count table with the current piece scores
-broadcast; the piece table is bounded by ``seed_size`` and each round is written to
-the checkpoint folder. Lookups (E3, E4, E5) are Arrow-batched pandas UDFs over a
-broadcast dictionary whose size is checked against a bound before it is collected.
+Counting (E1a) and id assignment (E2) are aggregates; substrings (E1b) are in ``substrings``, the
+training of subword pieces (E1c, E1d) in ``unigram``. Lookups (E3, E4, E5) are Arrow-batched pandas
+UDFs over a broadcast trie or dictionary whose size is checked against a bound before it is collected.
 """
 
 from __future__ import annotations
 
-import math
+import re
 import unicodedata
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -20,22 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip_unicode, ws_tokens
-from ..session import cut_lineage
+from .lattice import Trie, segment
+from .substrings import WORD_START, candidate_substrings, repeated_substrings  # noqa: F401  (E1b)
 
 # Reserved pieces ahead of the learned ones (unknown, sentence start
 # and end, then the control symbols [PAD],[CLS],[SEP],[MASK]).
 RESERVED = ["<unk>", "<s>", "</s>", "[PAD]", "[CLS]", "[SEP]", "[MASK]"]
 UNK_ID = 0
-# Fixed value: word-start marker of the subword model.
-WORD_START = "▁"
 
 MAX_VOCAB_COLLECT = 2_000_000  # a vocabulary above this is not broadcast
 
 
-BLOCK_CHARS = 1024  # characters of a long word looked at together in E1b
-
-
-# --- E1a / E1b: counts ------------------------------------------------------------
+# --- E1a: counts ------------------------------------------------------------
 
 def word_counts(sentences: DataFrame, text_col: str = "sentence", lower: bool = True) -> DataFrame:
     """(word, n) over white-space words (partial aggregation before the shuffle)."""
@@ -46,24 +41,6 @@ def word_counts(sentences: DataFrame, text_col: str = "sentence", lower: bool =
     )
 
 
-def candidate_substrings(words: DataFrame, max_len: int = 16, min_len: int = 1) -> DataFrame:
-    """Substrings (up to ``max_len`` characters) of ``▁word`` with their
-    corpus counts: each occurrence in a word counts the word's frequency."""
-    w = F.concat(F.lit(WORD_START), F.col("word"))
-    # Taken from blocks of a long word, and lengths from the piece at a start: a substring
-    # counts characters from the left, so its cost is that of what it is taken from.
-    firsts = F.sequence(F.lit(0), F.floor((F.length(w) - 1) / BLOCK_CHARS).cast("int"))
-    blocks = words.select("n", F.explode(F.transform(firsts, lambda b: F.substring(w, b * BLOCK_CHARS + 1, F.lit(BLOCK_CHARS + max_len - 1)))).alias("b"))
-    starts = F.sequence(F.lit(1), F.least(F.length("b"), F.lit(BLOCK_CHARS)))
-    at = blocks.select("n", F.explode(F.transform(starts, lambda i: F.substring("b", i, F.lit(max_len)))).alias("p"))
-    lengths = F.when(F.length("p") >= min_len, F.sequence(F.lit(min_len), F.length("p")))
-    return (
-        at.select(F.explode(F.transform(lengths, lambda k: F.substring("p", F.lit(1), k))).alias("piece"), "n")
-        .groupBy("piece")
-        .agg(F.sum("n").cast("long").alias("n"))
-    )
-
-
 # --- E2 ---------------------------------------------------------------------------
 
 def assign_ids(pieces: DataFrame, size: int, reserved: list[str] | None = None,
@@ -185,7 +162,7 @@ def parse_vocab(lines: DataFrame, id_col: str = "line_no", line_col: str = "line
     )
 
 
-# --- E1c / E1d: unigram EM, E3: Viterbi tokenizer -------------------------------------
+# --- E3: subword tokenizer, E1: training -----------------------------------------------
 
 def normalize_text(text: str, lower: bool) -> str:
     """NFKC, optional lowercasing, white space runs -> one ``▁``, leading ``▁``."""
@@ -198,216 +175,41 @@ def normalize_text(text: str, lower: bool) -> str:
     return "".join(WORD_START + w for w in words)
 
 
-def _split_words(norm: str) -> list[str]:
-    out, cur = [], ""
-    for ch in norm:
-        if ch == WORD_START and cur:
-            out.append(cur)
-            cur = ""
-        cur += ch
-    if cur:
-        out.append(cur)
-    return out
+def marked_words(norm: str) -> list[str]:
+    """The words of a normalised text, each with its marker; a marker inside a text parts words."""
+    return re.findall(f"{WORD_START}[^{WORD_START}]*", norm)
 
 
-def viterbi(word: str, scores: dict[str, float], max_len: int, unk_penalty: float) -> list[str]:
-    """Best segmentation of one word; unknown characters form pieces of their own and
-    consecutive unknown characters come out as one piece."""
-    n = len(word)
-    best = [-math.inf] * (n + 1)
-    back: list[tuple[int, bool]] = [(0, False)] * (n + 1)
-    best[0] = 0.0
-    for i in range(n):
-        if best[i] == -math.inf:
-            continue
-        base = best[i]
-        any_known = False
-        for L in range(1, min(max_len, n - i) + 1):
-            p = word[i:i + L]
-            sc = scores.get(p)
-            if sc is not None:
-                if L == 1:
-                    any_known = True
-                v = base + sc
-                if v > best[i + L]:
-                    best[i + L] = v
-                    back[i + L] = (i, False)
-        if not any_known:
-            v = base + unk_penalty
-            if v > best[i + 1]:
-                best[i + 1] = v
-                back[i + 1] = (i, True)
-    pieces: list[tuple[str, bool]] = []
-    j = n
-    while j > 0:
-        i, unk = back[j]
-        pieces.append((word[i:j], unk))
-        j = i
-    pieces.reverse()
-    merged: list[str] = []
-    prev_unk = False
-    for p, unk in pieces:
-        if unk and prev_unk:
-            merged[-1] += p
-        else:
-            merged.append(p)
-        prev_unk = unk
-    return merged
+CACHED_WORDS = 200_000  # words whose pieces a task remembers between batches
 
 
 def tokenize_subword(col: Column, vocab: DataFrame, lower: bool = True) -> Column:
     """Subword tokens of a text column under the vocabulary's piece scores; pieces of
-    any length count."""
+    any length count. The new words of a batch are segmented together over a double-array trie."""
     scores = {r["piece"]: float(r["score"]) for r in bounded_collect(vocab.select("piece", "score"), MAX_VOCAB_COLLECT)
               if r["piece"] not in RESERVED}
-    max_len = max(map(len, scores), default=1)
     unk_penalty = (min(scores.values()) if scores else 0.0) - 10.0
-    bc = SparkSession.getActiveSession().sparkContext.broadcast((scores, unk_penalty))
+    bc = SparkSession.getActiveSession().sparkContext.broadcast((Trie.build(list(scores)), np.array(list(scores.values()), np.float64)))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def _tok(s: pd.Series) -> pd.Series:
-        sc, pen = bc.value
-        cache: dict[str, list[str]] = {}
-
-        def one(text):
-            if text is None:
-                return None
-            out: list[str] = []
-            for w in _split_words(normalize_text(text, lower)):
-                seg = cache.get(w)
-                if seg is None:
-                    seg = viterbi(w, sc, max_len, pen)
-                    cache[w] = seg
-                out.extend(seg)
-            return out
-
-        return s.map(one)
+    def _tok(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        trie, piece_scores = bc.value
+        known: dict[str, list[str]] = {}
+        for s in batches:
+            texts = [None if t is None else marked_words(normalize_text(t, lower)) for t in s]
+            if len(known) > CACHED_WORDS:
+                known = {}
+            new = list({w for ws in texts if ws for w in ws if w not in known})
+            if new:
+                known.update(zip(new, segment(new, trie, piece_scores, unk_penalty)[0]))
+            yield pd.Series([None if ws is None else [p for w in ws for p in known[w]] for ws in texts], dtype=object)
 
     return _tok(col)
 
 
-def _logaddexp(a: float, b: float) -> float:
-    if a == -math.inf:
-        return b
-    if b == -math.inf:
-        return a
-    if a > b:
-        return a + math.log1p(math.exp(b - a))
-    return b + math.log1p(math.exp(a - b))
-
-
-def _expected_counts(batches, scores: dict[str, float], max_len: int):
-    """E-step kernel: forward-backward over each word's piece lattice (plain floats;
-    numpy scalar calls cost more than the arithmetic here)."""
-    ninf = -math.inf
-    for pdf in batches:
-        acc: dict[str, float] = {}
-        for word, cnt in zip(pdf["word"].tolist(), pdf["n"].tolist()):
-            w = WORD_START + word
-            n = len(w)
-            edges = []
-            for i in range(n):
-                for L in range(1, min(max_len, n - i) + 1):
-                    sc = scores.get(w[i:i + L])
-                    if sc is not None:
-                        edges.append((i, i + L, sc))
-            alpha = [ninf] * (n + 1)
-            alpha[0] = 0.0
-            for i, j, sc in edges:  # edges are sorted by start
-                if alpha[i] != ninf:
-                    alpha[j] = _logaddexp(alpha[j], alpha[i] + sc)
-            z = alpha[n]
-            if z == ninf:
-                continue
-            beta = [ninf] * (n + 1)
-            beta[n] = 0.0
-            for i, j, sc in reversed(edges):
-                if beta[j] != ninf:
-                    beta[i] = _logaddexp(beta[i], beta[j] + sc)
-            for i, j, sc in edges:
-                a = alpha[i] + sc + beta[j] - z
-                key = w[i:j]
-                acc[key] = acc.get(key, 0.0) + cnt * math.exp(a)
-        if acc:
-            yield pd.DataFrame({"piece": list(acc.keys()), "e": list(acc.values())})
-
-
-def train_unigram(sentences: DataFrame, size: int = 32000, text_col: str = "sentence",
-                  seed_size: int | None = None, max_len: int = 16, shrink: float = 0.75,
-                  em_rounds: int = 2, lower: bool = True, least_expected: float = 0.5) -> DataFrame:
-    """E1 (re-aimed): unigram vocabulary of ``size`` pieces including the reserved ones.
-
-    Parameters of the method, with the values of the published one where it has them:
-    ``seed_size`` pieces to start from besides all single characters (default 10 for each
-    piece wanted, 1000 at least), ``max_len`` characters in a piece, ``shrink`` of the pieces
-    kept by a round, ``least_expected`` count of a piece that stays. Single characters always
-    stay, so every text can be written; more of them than ``size`` has room for is an error.
-
-    E1a word counts -> E1b seed substrings (top ``seed_size`` by count x length, all
-    single characters kept) -> rounds of EM (E1c) and pruning (E1d) until the size is
-    reached. Returns (piece, score, id) with reserved ids first (E2)."""
-    spark = sentences.sparkSession
-    @F.pandas_udf(T.StringType())
-    def norm(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else normalize_text(t, lower))
-
-    # words after normalisation, without the marker (the marker is re-added per word)
-    words = (
-        sentences.select(F.explode(F.split(F.regexp_replace(norm(F.col(text_col)), WORD_START, " "), " ")).alias("word"))
-        .filter(F.col("word") != "")
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # explicit partition count: the word table is small in bytes but each row is
-    # Python work in every EM round, so it must not be folded into a few tasks
-    from .sequences import cpu_partitions
-
-    words = cut_lineage(words.repartition(cpu_partitions(spark), "word"))
-    target = size - len(RESERVED)
-    seed_size = seed_size or max(10 * target, 1000)
-    cands = candidate_substrings(words, max_len)
-    chars = cands.filter(F.length("piece") == 1)
-    multi = (
-        cands.filter(F.length("piece") > 1)
-        .withColumn("_s", F.col("n") * F.length("piece"))
-        .orderBy(F.col("_s").desc(), "piece")
-        .limit(seed_size)
-        .drop("_s")
-    )
-    seed = chars.unionByName(multi)
-    rows = seed.collect()  # bounded: seed_size + distinct characters
-    total = float(sum(r["n"] for r in rows))
-    scores = {r["piece"]: math.log(r["n"] / total) for r in rows}
-    char_set = {p for p in scores if len(p) == 1}
-
-    schema = "piece string, e double"
-    while True:
-        for _ in range(em_rounds):
-            bc = spark.sparkContext.broadcast(scores)
-
-            def step(batches, _bc=bc):
-                yield from _expected_counts(batches, _bc.value, max_len)
-
-            exp = words.mapInPandas(step, schema).groupBy("piece").agg(F.sum("e").alias("e"))
-            got = {r["piece"]: r["e"] for r in exp.collect()}  # bounded by the piece table
-            bc.unpersist()
-            tot = sum(got.values()) or 1.0
-            scores = {p: math.log(max(got.get(p, 0.0), 1e-9) / tot) for p in scores
-                      if got.get(p, 0.0) >= least_expected or p in char_set}
-        learned = [p for p in scores if p not in char_set]
-        n_now = len(scores)
-        if n_now <= target:
-            break
-        keep_n = max(target - len(char_set & scores.keys()), int(len(learned) * shrink))
-        keep = set(sorted(learned, key=lambda p: (-scores[p], p))[:max(keep_n, 0)])
-        new_scores = {p: s for p, s in scores.items() if p in keep or p in char_set}
-        if len(new_scores) >= n_now:
-            break
-        scores = new_scores
-    final = sorted(scores.items(), key=lambda kv: (-kv[1], kv[0]))
-    if len(char_set) > target:
-        raise ValueError(f"{len(char_set)} distinct characters do not fit a vocabulary of {size}")
-    if len(final) > target:  # characters first so every text stays encodable
-        final = ([kv for kv in final if len(kv[0]) == 1] + [kv for kv in final if len(kv[0]) > 1])[:target]
-    pieces = spark.createDataFrame(final, "piece string, score double")
-    return assign_ids(pieces, size)
+def train_unigram(sentences: DataFrame, size: int = 32000, text_col: str = "sentence", **settings) -> DataFrame:
+    """Unigram vocabulary of ``size`` pieces including the reserved ones: ``unigram.train_pieces``
+    (whose further settings apply), then ids (E2). Returns (piece, score, id) with reserved ids first."""
+    from .unigram import train_pieces
+
+    return assign_ids(train_pieces(sentences, size - len(RESERVED), text_col, **settings), size)
