@@ -1,10 +1,10 @@
 """Document assembly.
 
 D1 is gaps-and-islands: a document number is the count of blank lines before a line
-in corpus order. Within a file that is a window partitioned by file; across files
-it is a running sum over the one-row-per-file table, so a document may continue
-across a file end exactly as in the reference. Sentence numbers inside a document
-are built the same two-level way, so a document spanning many files never forces
+in corpus order. Within a block of a file's lines that is a window; across blocks and files
+it is a running sum over a table of one row per block, so one large file is many tasks and a document may
+continue across a file end exactly as in the reference. Sentence numbers inside a document
+are built the same two-level way, so a document spanning many blocks or files never forces
 all its lines through one window partition.
 """
 
@@ -19,11 +19,11 @@ from ..functions import rng
 from ..functions.indexing import dense_index_by_hash, exclusive_running_sum, ordered_running_sum
 from ..functions.text import strip_unicode, ws_tokens
 from ..session import cut_lineage
+from .clean import BLOCK_KEYS, BLOCK_LINES, in_blocks
 
-FILE_KEYS = ["part", "file"]
 
 
-def to_documents(lines: DataFrame, tokenize: Callable[[Column], Column] | None = None) -> DataFrame:
+def to_documents(lines: DataFrame, tokenize: Callable[[Column], Column] | None = None, block: int = BLOCK_LINES) -> DataFrame:
     """D1 + D2: (part, file, line_no, line) -> sentences
     (doc_key long, sent_no long, part, file, line_no, sentence, tokens, n_tokens).
 
@@ -35,29 +35,30 @@ def to_documents(lines: DataFrame, tokenize: Callable[[Column], Column] | None =
     )
     if "sub_no" not in lines.columns:  # lines split by C5 may come without renumbering
         s = s.withColumn("sub_no", F.lit(0))
-    w_file = Window.partitionBy(*FILE_KEYS).orderBy("line_no", "sub_no").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_cum", F.sum("_blank").over(w_file))
+    w_block = Window.partitionBy(*BLOCK_KEYS).orderBy("line_no", "sub_no").rowsBetween(Window.unboundedPreceding, 0)
+    s = in_blocks(s, block).withColumn("_cum", F.sum("_blank").over(w_block))
     s = s.withColumn("tokens", tokenize(F.col("sentence"))).withColumn("n_tokens", F.size("tokens")).drop("line")
-    # read twice below (per-file totals and the lines): written once so the regex work
-    # and the per-file sort are not repeated
+    # read twice below (totals of blocks and the lines): written once so the regex work
+    # and the sort are not repeated
     s = cut_lineage(s)
-    per_file = s.groupBy(*FILE_KEYS).agg(F.sum("_blank").alias("_nb"))
-    offs = ordered_running_sum(per_file, FILE_KEYS, "_nb", "_off")
-    s = s.join(offs.select(*FILE_KEYS, "_off"), FILE_KEYS).withColumn("doc_key", F.col("_off") + F.col("_cum"))
+    per_block = s.groupBy(*BLOCK_KEYS).agg(F.sum("_blank").alias("_nb"))
+    offs = ordered_running_sum(per_block, BLOCK_KEYS, "_nb", "_off")
+    s = s.join(offs.select(*BLOCK_KEYS, "_off"), BLOCK_KEYS).withColumn("doc_key", F.col("_off") + F.col("_cum"))
     s = s.filter(F.col("n_tokens") > 0).drop("_blank", "_cum", "_off")
     return number_sentences(s)
 
 
 def number_sentences(s: DataFrame) -> DataFrame:
-    """Dense 0-based ``sent_no`` within each document, in corpus order."""
-    per = s.groupBy("doc_key", *FILE_KEYS).agg(F.count(F.lit(1)).alias("_n"))
-    per = exclusive_running_sum(per, FILE_KEYS, "_n", "_foff", partition_cols=["doc_key"])
-    w = Window.partitionBy("doc_key", *FILE_KEYS).orderBy("line_no", "sub_no")
+    """Dense 0-based ``sent_no`` within each document, in corpus order; ``s`` has its blocks (``_blk``)."""
+    keys = ["doc_key", *BLOCK_KEYS]
+    per = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    per = exclusive_running_sum(per, BLOCK_KEYS, "_n", "_boff", partition_cols=["doc_key"])
+    w = Window.partitionBy(*keys).orderBy("line_no", "sub_no")
     return (
         s.withColumn("_rn", F.row_number().over(w))
-        .join(per.select("doc_key", *FILE_KEYS, "_foff"), ["doc_key", *FILE_KEYS])
-        .withColumn("sent_no", (F.col("_foff") + F.col("_rn") - 1).cast("long"))
-        .drop("_rn", "_foff", "sub_no")
+        .join(per.select(*keys, "_boff"), keys)
+        .withColumn("sent_no", (F.col("_boff") + F.col("_rn") - 1).cast("long"))
+        .drop("_rn", "_boff", "_blk", "sub_no")
     )
 
 

@@ -183,9 +183,10 @@ def marked_words(norm: str) -> list[str]:
 CACHED_WORDS = 200_000  # words whose pieces a task remembers between batches
 
 
-def tokenize_subword(col: Column, vocab: DataFrame, lower: bool = True) -> Column:
+def tokenize_subword(col: Column, vocab: DataFrame, lower: bool = True, normalize: bool = True) -> Column:
     """Subword tokens of a text column under the vocabulary's piece scores; pieces of
-    any length count. The new words of a batch are segmented together over a double-array trie."""
+    any length count. The new words of a batch are segmented together over a double-array trie.
+    Without ``normalize`` each text is one word as it stands."""
     scores = {r["piece"]: float(r["score"]) for r in bounded_collect(vocab.select("piece", "score"), MAX_VOCAB_COLLECT)
               if r["piece"] not in RESERVED}
     unk_penalty = (min(scores.values()) if scores else 0.0) - 10.0
@@ -196,7 +197,7 @@ def tokenize_subword(col: Column, vocab: DataFrame, lower: bool = True) -> Colum
         trie, piece_scores = bc.value
         known: dict[str, list[str]] = {}
         for s in batches:
-            texts = [None if t is None else marked_words(normalize_text(t, lower)) for t in s]
+            texts = [None if t is None else marked_words(normalize_text(t, lower) if normalize else WORD_START + t) for t in s]
             if len(known) > CACHED_WORDS:
                 known = {}
             new = list({w for ws in texts if ws for w in ws if w not in known})

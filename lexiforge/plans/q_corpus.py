@@ -15,28 +15,37 @@ from ..session import cut_lineage, scratch_path
 from .catalog import T, register, with_ctes
 
 DELIMS = ".!?"  # the test corpus has no 。, so the sentence rule runs on these
-VOCAB_SIZE = 2000
+VOCAB_SIZE = 32000
 SEED = 12345
 
 
-def doc_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """documents -> lines (every row is a document) -> C4-C8."""
+def corpus_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """documents -> lines (every row is a document) -> C4-C8 without the dense renumbering: projections and
+    filters only, enough for what counts words."""
     lines = src.lines_from_table(T(spark, sf, "documents"), "doc_id", "text", doc_break=True)
-    out = clean.drop_leading_delim(clean.split_sentences(lines, DELIMS), DELIMS)
-    return clean.renumber(clean.lowercase(out))
+    return clean.lowercase(clean.drop_leading_delim(clean.split_sentences(lines, DELIMS), DELIMS))
+
+
+def doc_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaned corpus with dense line numbers."""
+    return clean.renumber(cut_lineage(corpus_lines(spark, sf)))
 
 
 def doc_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    """D1/D2 over the cleaned corpus (C4-C8 without the dense renumbering: document
-    assembly orders by (line_no, sub_no) itself). The sentence table is written once;
-    every later step reads it."""
-    lines = src.lines_from_table(T(spark, sf, "documents"), "doc_id", "text", doc_break=True)
-    corpus = clean.lowercase(clean.drop_leading_delim(clean.split_sentences(lines, DELIMS), DELIMS))
-    return cut_lineage(documents.to_documents(corpus))
+    """D1/D2 over the cleaned corpus (document assembly orders by (line_no, sub_no) itself). The sentence
+    table is written once; every later step reads it."""
+    return cut_lineage(documents.to_documents(corpus_lines(spark, sf)))
 
 
 def doc_vocab(spark: SparkSession, sf: str, sentences: DataFrame | None = None) -> DataFrame:
-    return vocab.word_vocab(sentences if sentences is not None else doc_sentences(spark, sf), VOCAB_SIZE)
+    if sentences is not None:
+        return vocab.word_vocab(sentences, VOCAB_SIZE)
+    return vocab.word_vocab(corpus_lines(spark, sf), VOCAB_SIZE, "line")
+
+
+def corpus_words(spark: SparkSession, sf: str) -> DataFrame:
+    """E1a over the cleaned lines."""
+    return vocab.word_counts(corpus_lines(spark, sf), "line")
 
 
 # --- A1 ---------------------------------------------------------------------------
@@ -243,7 +252,7 @@ _VOCAB_SQL = _SENTS + S.word_vocab("sents", "vocab", VOCAB_SIZE)
 @register("e1a_word_counts", with_ctes(_SENTS + S.word_vocab("sents", "vocab", VOCAB_SIZE),
                                        "SELECT piece AS word, n FROM vocab_wc"))
 def e1a_word_counts(spark, sf):
-    return vocab.word_counts(doc_sentences(spark, sf))
+    return corpus_words(spark, sf)
 
 
 @register("e1b_candidate_substrings", with_ctes(_VOCAB_SQL, """SELECT piece, CAST(sum(n) AS BIGINT) AS n FROM (
@@ -252,7 +261,40 @@ def e1a_word_counts(spark, sf):
       SELECT w, n, unnest(generate_series(1, length(w))) AS i FROM (SELECT '▁' || piece AS w, n FROM vocab_wc) _a) _b) _c) _d
 GROUP BY piece"""))
 def e1b_candidate_substrings(spark, sf):
-    return vocab.candidate_substrings(vocab.word_counts(doc_sentences(spark, sf)), max_len=16)
+    return vocab.candidate_substrings(corpus_words(spark, sf), max_len=16)
+
+
+PIECE_CHARS, PIECES = 8, 4000
+
+_BEST_SQL = "WITH RECURSIVE " + ",\n".join(_VOCAB_SQL + [
+    "wd AS (SELECT '▁' || piece AS w, n FROM vocab_wc)",
+    f"""occ AS MATERIALIZED (SELECT w, n, i - 1 AS s, L, substring(w, i, L) AS piece FROM (
+  SELECT w, n, i, unnest(generate_series(1, least({PIECE_CHARS}, length(w) - i + 1))) AS L FROM (
+    SELECT w, n, unnest(generate_series(1, length(w))) AS i FROM wd) _a) _b)""",
+    "su AS (SELECT piece, sum(n) AS n FROM occ GROUP BY piece)",
+    f"""pc AS (SELECT piece, n FROM su WHERE length(piece) = 1 UNION ALL (
+  SELECT piece, n FROM su WHERE length(piece) > 1 ORDER BY n * length(piece) DESC, piece LIMIT {PIECES}))""",
+    "sc AS (SELECT piece, floor(1000 * ln(n / (SELECT CAST(sum(n) AS DOUBLE) FROM pc))) AS score FROM pc)",
+    "ed AS MATERIALIZED (SELECT w, s, s + L AS t, score FROM occ JOIN sc USING (piece))",
+    """dp AS (SELECT w, 0 AS k, [CAST(0 AS DOUBLE)] AS best FROM wd UNION ALL
+  SELECT d.w, d.k + 1, list_append(any_value(d.best), max(d.best[e.s + 1] + e.score))
+  FROM dp d JOIN ed e ON e.w = d.w AND e.t = d.k + 1 GROUP BY d.w, d.k)""",
+]) + "\nSELECT substring(w, 2) AS word, CAST(best[k + 1] AS BIGINT) AS score FROM dp WHERE k = length(w)"
+
+
+@register("e3_best_scores", _BEST_SQL)
+def e3_best_scores(spark, sf):
+    """Score of the best segmentation of every word of the corpus, from its tokens (E3): the pieces are all
+    characters and the substrings of greatest count times length, at the logarithm of their share in
+    thousandths."""
+    words = cut_lineage(corpus_words(spark, sf))
+    every = cut_lineage(vocab.candidate_substrings(words, PIECE_CHARS))
+    multi = every.where(F.length("piece") > 1).orderBy(F.desc(F.col("n") * F.length("piece")), "piece").limit(PIECES)
+    pieces = cut_lineage(every.where(F.length("piece") == 1).unionByName(multi))
+    total = float(pieces.agg(F.sum("n")).first()[0] or 1)
+    scores = pieces.select("piece", F.floor(F.lit(1000) * F.log(F.col("n") / F.lit(total))).alias("score"))
+    tokens = words.select("word", F.explode(vocab.tokenize_subword(F.col("word"), scores, normalize=False)).alias("piece"))
+    return tokens.join(scores, "piece").groupBy("word").agg(F.sum("score").cast("long").alias("score"))
 
 
 @register("e2_assign_ids", with_ctes(_VOCAB_SQL, "SELECT piece, score, id FROM vocab"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indexing import exclusive_running_sum, ordered_running_sum
 from ..functions.text import col_of, strip_unicode, translate_controls
+from ..session import cut_lineage
 
 LINE_COLS = ["part", "file", "line_no", "line"]
 
@@ -33,8 +34,9 @@ def read_lines(spark: SparkSession, globs) -> DataFrame:
             F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
         for gi, g in enumerate(globs)
     ]
-    # Rows of one split follow each other in one task, so their counter rises by one.
-    lines = reduce(DataFrame.unionByName, frames)
+    # Rows of one split follow each other in one task, so their counter rises by one. Written once:
+    # a second scan could be split in another way (more executors), and its splits would not match.
+    lines = cut_lineage(reduce(DataFrame.unionByName, frames))
     splits = lines.groupBy("part", "file", "_split").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
     splits = exclusive_running_sum(splits, ["_split"], "_n", "_before", partition_cols=["part", "file"])
     return lines.join(splits, ["part", "file", "_split"]).select(
