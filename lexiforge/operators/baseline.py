@@ -3,7 +3,7 @@
 K2 is aggregates and joins: term frequencies with partial aggregation, the top-k
 term list (bounded by ``max_features``) broadcast, document frequencies, idf with
 the smoothing of the reference's library (ln((1+n)/(1+df)) + 1), and an L2 norm per
-row from a per-row sum of squares. K3/K5 use Spark ML estimators.
+row from a per-row sum of squares. K3 is in ``boosting``; K5 uses a Spark ML estimator.
 """
 
 from __future__ import annotations
@@ -57,30 +57,29 @@ def transform_tfidf(df: DataFrame, model: DataFrame, key: str, text_col: str = "
 
 
 def sparse_features(long: DataFrame, rows: DataFrame, key: str, dims: int, out: str = "features") -> DataFrame:
-    """Long (key, term_index, value) -> one sparse ML vector per row of ``rows`` (empty where
-    a row has no term)."""
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    """Long (key, term_index, value) -> one ML vector per row of ``rows`` (empty where a row has no term), by
+    native expressions: each value behind the zeros since the one before it, then the vector, kept
+    sparse where that is smaller."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
 
     g = long.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_index", "value"))).alias("_t"))
-
-    @F.udf(VectorUDT())  # no native expression builds a sparse vector
-    def vector(pairs):
-        return Vectors.sparse(dims, [p[0] for p in pairs or ()], [p[1] for p in pairs or ()])
-
-    return rows.join(g, key, "left").withColumn(out, vector("_t")).drop("_t")
+    x = rows.join(g, key, "left").withColumn("_t", F.coalesce("_t", F.array().cast("array<struct<term_index:int,value:double>>")))
+    zeros = "array_repeat(0D, {})".format
+    before = "_t[i - 1].term_index"
+    steps = f"transform(_t, (x, i) -> concat({zeros(f'x.term_index - if(i = 0, -1, {before}) - 1')}, array(x.value)))"
+    rest = zeros(f"{dims} - 1 - coalesce(try_element_at(_t, -1).term_index, -1)")
+    x = x.withColumn("_v", array_to_vector(F.expr(f"concat(flatten({steps}), {rest})"))).drop("_t")
+    return VectorAssembler(inputCols=["_v"], outputCol=out).transform(x).drop("_v")
 
 
 def train_baseline(train: DataFrame, label_col: str = "label_index", features: str = "features",
-                   validation_col: str | None = "is_validation", max_iter: int = 200, tol: float = 0.01, seed: int = 23):
-    """K3: boosted trees, early stop on a validation share; one-vs-rest above two classes."""
-    from pyspark.ml.classification import GBTClassifier, OneVsRest
-
-    n_classes = train.select(label_col).distinct().count()
-    gbt = GBTClassifier(featuresCol=features, labelCol=label_col, maxIter=max_iter, seed=seed,
-                        validationTol=tol, validationIndicatorCol=validation_col)
-    if n_classes <= 2:
-        return gbt.fit(train)
-    return OneVsRest(classifier=gbt, featuresCol=features, labelCol=label_col).fit(train)
+                   validation_col: str | None = "is_validation", max_iter: int = 200, tol: float = 0.01, patience: int = 5):
+    """K3: boosted trees with softmax loss, up to ``max_iter`` rounds of one tree per class; stops when the
+    loss of the validation rows has not become lower by ``tol`` over ``patience`` rounds."""
+    from . import boosting
+
+    return boosting.fit(train, label_col, features, validation_col, boosting.Settings(rounds=max_iter, tol=tol, patience=patience))
 
 
 def train_head(df: DataFrame, features_col: str = "embedding", label_col: str = "label", max_iter: int = 100):
