@@ -11,12 +11,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.indexing import exclusive_running_sum, ordered_running_sum
 from ..functions.text import col_of, strip_unicode, translate_controls
 from ..session import cut_lineage
+from .markup import page_text
 
 LINE_COLS = ["part", "file", "line_no", "line"]
 
@@ -129,48 +131,22 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 # --- A10: page text extraction -------------------------------------------------
 
-# Elements whose content is not text, tags that end a text block,
-# and the character entities decoded (ampersand last).
-DROP_ELEMENTS = ["script", "style", "nav", "head", "noscript"]
-BLOCK_TAGS = ["p", "div", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "article",
-              "section", "header", "footer", "table", "tr", "td", "th", "blockquote", "pre",
-              "main", "aside", "figure", "figcaption", "hr", "title", "body", "html"]
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+def page_parts(html) -> Column:
+    """(title, lines) of a page's markup; null for a null page."""
 
-_DROP_RE = "(?is)<!--.*?-->|" + "|".join(f"<{t}\\b[^>]*>.*?</{t}\\s*>" for t in DROP_ELEMENTS)
-_BLOCK_RE = "(?i)<\\s*/?\\s*(?:" + "|".join(BLOCK_TAGS) + ")\\b[^>]*>"
-_TAG_RE = "<[^>]*>"
-_TITLE_RE = "(?is)<title[^>]*>(.*?)</title\\s*>"
-_EDGE_RE = "^[ \\t\\r]+|[ \\t\\r]+\\z"
+    @F.pandas_udf("title string, lines array<string>")
+    def parts(pages: pd.Series) -> pd.DataFrame:
+        rows = [(None, None) if h is None else page_text(h) for h in pages]
+        return pd.DataFrame(rows, columns=["title", "lines"])
 
-
-def _unescape(c: Column) -> Column:
-    for k, v in ENTITIES:
-        c = F.replace(c, F.lit(k), F.lit(v))
-    return c
-
-
-def page_title(html) -> Column:
-    return F.regexp_replace(_unescape(F.regexp_extract(col_of(html), _TITLE_RE, 1)), _EDGE_RE, "")
-
-
-def page_text_lines(html) -> Column:
-    """Body text of a page as an array of non-empty, edge-trimmed lines."""
-    t = F.regexp_replace(col_of(html), _DROP_RE, "")
-    t = F.regexp_replace(t, _BLOCK_RE, "\n")
-    t = F.regexp_replace(t, _TAG_RE, "")
-    t = _unescape(t)
-    lines = F.transform(F.split(t, "\n"), lambda s: F.regexp_replace(s, _EDGE_RE, ""))
-    return F.filter(lines, lambda s: s != F.lit(""))
+    return parts(col_of(html))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A10 (re-aimed): markup pages -> raw corpus lines in the extractor's layout:
     ``<doc id=.. url=.. title=..>``, title, empty line, text lines, ``</doc>``.
-    Returns the line schema with part = page id."""
-    title = page_title(F.col(html_col))
-    header = F.format_string('<doc id="%s" url="%s" title="%s">', F.col(id_col).cast("string"), F.col(url_col), title)
-    arr = F.concat(F.array(header, title, F.lit("")), page_text_lines(F.col(html_col)), F.array(F.lit("</doc>")))
-    return pages.select(
-        F.col(id_col).cast("long").alias("part"), F.lit("").alias("file"), F.posexplode(arr).alias("line_no", "line")
-    ).select("part", "file", F.col("line_no").cast("long"), "line")
+    Returns the line schema with part = page id; a null page has no lines."""
+    x = pages.select(F.col(id_col).cast("long").alias("part"), F.col(url_col).alias("_url"), page_parts(F.col(html_col)).alias("_p"))
+    header = F.format_string('<doc id="%s" url="%s" title="%s">', F.col("part").cast("string"), F.col("_url"), F.col("_p.title"))
+    arr = F.concat(F.array(header, F.col("_p.title"), F.lit("")), F.col("_p.lines"), F.array(F.lit("</doc>")))
+    return x.select("part", F.lit("").alias("file"), F.posexplode(arr).alias("line_no", "line")).select("part", "file", F.col("line_no").cast("long"), "line")
