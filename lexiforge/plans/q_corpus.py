@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.indexing import dense_index_by_hash
 from ..functions.text import decode_utf8, infer_value, translate_controls
 from ..operators import clean, documents, vocab
+from ..sinks.named_files import write_labelled_folders
 from ..sources import markup, tables
 from ..sources import text as src
 from . import sqlparts as S
@@ -180,7 +181,9 @@ def c13_infer_value(spark, sf):
           "SELECT source AS label, source || '-' || CAST(doc_id AS VARCHAR) || '.txt' AS file_name, text AS content "
           "FROM documents WHERE starts_with(source || '-' || CAST(doc_id AS VARCHAR) || '.txt', source)")
 def a2_labelled_folders(spark, sf):
-    return src.labelled_files_from_table(T(spark, sf, "documents"), "source", "doc_id", "text")
+    """Files ``{source}/{source}-{doc_id}.txt`` on disk, read back by folder."""
+    files = src.labelled_files_from_table(T(spark, sf, "documents"), "source", "doc_id", "text")
+    return src.read_labelled_folders(spark, write_labelled_folders(files, spark, scratch_path(spark, "folders")))
 
 
 @register("g2_labelled_table",

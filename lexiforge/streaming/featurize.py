@@ -5,8 +5,12 @@ files in a folder; a Structured Streaming query applies the same per-row feature
 expressions as the batch job (F9-F12 as array expressions, E4 as an Arrow UDF over a
 broadcast vocabulary, G7 as a stream-static broadcast join with the label list) and
 ``foreachBatch`` writes each micro-batch to its own folder of a Parquet table, so a
-replayed batch replaces its rows. Every step is per row,
-so no streaming state is kept; the checkpoint folder makes the query restartable.
+replayed batch replaces its rows.
+
+Sources may send a row more than once. With a time column, ids seen are kept as state until the
+watermark has passed them, and a repeated id counts once, in whichever batch it comes again; rows older
+than the watermark are dropped, since the state that would know them is gone. Without a time column the
+query keeps no state. The checkpoint folder makes it restartable, state included.
 """
 
 from __future__ import annotations
@@ -19,12 +23,22 @@ from pyspark.sql import types as T
 from ..operators import datasets as G
 
 
+def once_per_id(stream: DataFrame, key_cols: list[str], time_col: str, delay: str) -> DataFrame:
+    """The first row of each key; repeated keys are dropped as long as they come within ``delay`` of
+    event time."""
+    return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(key_cols)
+
+
 def featurize_stream(spark: SparkSession, source_dir: str, schema: T.StructType, out_dir: str, checkpoint_dir: str,
                      vocab: dict, labels: DataFrame, max_seq_length: int, text_col: str = "text",
-                     label_col: str = "label", max_files_per_trigger: int = 1, available_now: bool = True):
-    """Start the stream; returns the running (or, with ``available_now``, finished) query."""
+                     label_col: str = "label", max_files_per_trigger: int = 1, available_now: bool = True,
+                     key_cols: list[str] | None = None, time_col: str | None = None, delay: str = "1 hour"):
+    """Start the stream; returns the running (or, with ``available_now``, finished) query. With ``time_col``
+    rows count once per ``key_cols`` within the watermark."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_dir))
+    if time_col is not None:
+        stream = once_per_id(stream, key_cols or ["doc_id"], time_col, delay)
     feats = G.classification_features(stream, vocab, labels, max_seq_length, text_col, label_col)
 
     def sink(batch: DataFrame, epoch_id: int) -> None:

@@ -1,0 +1,80 @@
+"""Files with given names: published on commit only, whole, once; and the stream that counts an id once."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexiforge.sinks import named_files as N
+from lexiforge.sources import text as src
+
+
+def tree(root):
+    return sorted(os.path.relpath(os.path.join(d, f), root) for d, _, fs in os.walk(root) for f in fs if not f.endswith(".crc"))
+
+
+def test_folders_round_trip(spark, tmp_path):
+    rows = [("news", f"news-{i}.txt", f"line ü {i}\n\nmore\t{i}\r\n") for i in range(40)] + [("sport", "sport-1.txt", "x"), ("sport", "other.txt", "not of the label")]
+    df = spark.createDataFrame(rows, "label string, file_name string, content string").repartition(5)
+    root = str(tmp_path / "out")
+    N.write_labelled_folders(df, spark, root)
+    assert tree(root) == sorted(f"{a}/{b}" for a, b, _ in rows)
+    got = {(r.label, r.file_name): r.content for r in src.read_labelled_folders(spark, root).collect()}
+    assert got == {(a, b): c for a, b, c in rows if b.startswith(a)}
+    # A second write replaces the first one; "append" adds to it.
+    N.write_labelled_folders(df.limit(1), spark, root)
+    assert len(tree(root)) == 1
+    more = spark.createDataFrame([("extra/a.txt", None)], "path string, content string")
+    N.write_named_files(more, root, "append")
+    assert len(tree(root)) == 2 and os.path.getsize(f"{root}/extra/a.txt") == 0
+
+
+def test_failed_job_leaves_the_old_files(spark, tmp_path):
+    root = str(tmp_path / "out")
+    N.write_named_files(spark.createDataFrame([("a.txt", "old")], "path string, content string"), root)
+    bad = spark.range(100).repartition(4).select(F.when(F.col("id") == 77, F.raise_error(F.lit("stop"))).otherwise(F.format_string("b-%d.txt", "id")).alias("path"), F.lit("new").alias("content"))
+    with pytest.raises(Exception, match="stop"):
+        N.write_named_files(bad, root)
+    assert tree(root) == ["a.txt"] and open(f"{root}/a.txt").read() == "old"
+
+
+@pytest.mark.parametrize("path", ["../x", "/x", "", None, "a/../../x"])
+def test_paths_stay_below_the_folder(spark, tmp_path, path):
+    with pytest.raises(Exception, match="not a path below"):
+        N.write_named_files(spark.createDataFrame([(path, "x")], "path string, content string"), str(tmp_path / "out"))
+
+
+def test_two_tasks_cannot_write_one_file(spark, tmp_path):
+    df = spark.createDataFrame([("a.txt", "1"), ("a.txt", "2")], "path string, content string").repartition(2)
+    with pytest.raises(Exception, match="two tasks wrote a.txt|do not follow"):
+        N.write_named_files(df.union(df), str(tmp_path / "out"))
+    assert tree(str(tmp_path / "out")) == []
+
+
+def test_shards_hold_their_lines_in_order(spark, tmp_path):
+    lines = spark.range(100).select((F.col("id") % 3).cast("int").alias("shard"), F.col("id").alias("at"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("line"))
+    root = N.write_shards(lines, str(tmp_path / "s"), ["at"], 3)
+    assert tree(root) == [f"shard-0000{i}-of-00003.txt" for i in range(3)]
+    assert open(f"{root}/shard-00001-of-00003.txt").read() == "".join(f"l{i}\n" for i in range(1, 100, 3))
+
+
+def test_repeated_rows_count_once_over_batches_and_restarts(spark, tmp_path):
+    from lexiforge.operators import datasets as G
+    from lexiforge.operators import vocab
+    from lexiforge.streaming.featurize import featurize_stream, stream_paths
+
+    source, out, chk = stream_paths(str(tmp_path / "s"))
+    d = {p: i for i, p in enumerate([*vocab.RESERVED, "a", "b", "c"])}
+
+    def send(ids, hour):
+        rows = [(i, "a b c", "x", hour * 3600) for i in ids]
+        df = spark.createDataFrame(rows, "doc_id long, text string, label string, t long").withColumn("seen_at", F.timestamp_seconds("t")).drop("t")
+        df.coalesce(1).write.mode("append").parquet(source)
+        featurize_stream(spark, source, df.schema, out, chk, d, G.categories(df), 8, time_col="seen_at", delay="2 hours")
+        return sorted(r.doc_id for r in spark.read.parquet(out).collect())
+
+    assert send([*range(10), 3, 3], 1) == list(range(10))  # twice in one batch
+    assert send(range(5, 15), 2) == list(range(15))  # again in a later batch, after a restart
+    assert send([20], 9) == [*range(15), 20]  # the watermark passes the first ids
+    assert send([21, 20], 9) == [*range(15), 20, 21]
+    assert send([30], 1) == [*range(15), 20, 21]  # too late to know whether it came before
