@@ -1,15 +1,12 @@
 """Training-sequence construction.
 
 Planner (F1-F5, F7): the reference's per-document loop only carries the first
-sentence of the current chunk, so it is replayed per document on sentence lengths
+sentence of the current chunk, so it is replayed on sentence lengths
 alone (no tokens pass through Python). Every random choice is keyed by
 (seed, purpose, repeat, document, chunk start), so the plan is the same whatever
-the partitioning and can be recomputed by the SQL oracle.
-
-Documents of more than ``hot_sentences`` sentences are not sent to one group: their
-sentences are cut into blocks, a block-local pass computes each start's successor
-and the walk is followed by pointer doubling over those successors (see
-``plan_hot_documents``), which is exact and has no group larger than a block.
+the partitioning and can be recomputed by the SQL oracle. Documents of any size take one path: they are
+planned block by block, and where the loop enters a block comes from a table of the exits of the
+blocks before it (see ``plan_chunks``); a document of one block has none before.
 
 Assembly (F6, F8-F12) is joins on exact (document, sentence) keys plus array
 functions; nothing is collected.
@@ -17,6 +14,8 @@ functions; nothing is collected.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -72,7 +71,7 @@ def _next_start(P, base, n_total, doc, rep, T, s, n_docs, seed) -> int:
 
 def walk_document(lens: np.ndarray, doc: int, reps: int, n_docs: int, seed: int, max_num_tokens: int,
                   short_seq_prob: float) -> list[tuple]:
-    """F1-F5, F7 for one document: the chunk starts and their choices."""
+    """F1-F5, F7 for one document in one step: the loop as it is defined, for documents at hand."""
     n = len(lens)
     P = np.concatenate([[0], np.cumsum(lens)])
     rows = []
@@ -85,147 +84,126 @@ def walk_document(lens: np.ndarray, doc: int, reps: int, n_docs: int, seed: int,
     return rows
 
 
-HOT_SENTENCES = 1 << 20  # documents above this many sentences are planned block-wise
-BLOCK_SENTENCES = 1 << 16
+BLOCK_SENTENCES = 1 << 16  # sentences of a document that one step plans
+
+PLAN_COLS = ["rep", "doc_index", "start", "end", "cut", "is_random_next", "other_doc", "target", "target_b"]
+
+
+@dataclass
+class Block:
+    """A block of a document: the prefix sums of its sentence lengths, and of as many sentences after
+    it as a chunk that starts in it can reach."""
+
+    doc: int
+    number: int
+    n_total: int
+    base: int
+    stop: int
+    P: np.ndarray
+
+
+def _blocks(batches, block: int):
+    """(rows, Block) of each block of a sorted partition; one cut by a batch edge is carried on."""
+    carry = None
+    for pdf in batches:
+        if carry is not None:
+            pdf = pd.concat([carry, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        doc, blk = pdf["doc_index"].to_numpy(np.int64), pdf["block"].to_numpy(np.int64)
+        edge = np.flatnonzero((np.diff(doc) != 0) | (np.diff(blk) != 0)) + 1
+        bounds = [0, *edge.tolist(), len(pdf)]
+        lens, total = pdf["n_tokens"].to_numpy(np.int64), pdf["n_sent"].to_numpy(np.int64)
+        for lo, hi in zip(bounds[:-2], bounds[1:-1]):
+            yield pdf.iloc[lo:hi], _block(doc[lo], blk[lo], total[lo], lens[lo:hi], block)
+        carry = pdf.iloc[bounds[-2] :]
+    if carry is not None and len(carry):
+        c = carry.iloc[0]
+        yield carry, _block(c["doc_index"], c["block"], c["n_sent"], carry["n_tokens"].to_numpy(np.int64), block)
+
+
+def _block(doc, number, n_total, lens, block: int) -> Block:
+    base = int(number) * block
+    return Block(int(doc), int(number), int(n_total), base, min(base + block, int(n_total)), np.concatenate([[0], np.cumsum(lens)]))
 
 
 def plan_chunks(sent_lengths: DataFrame, n_docs: int, reps: int, seed: int, max_seq_length: int,
-                short_seq_prob: float, hot_sentences: int = HOT_SENTENCES,
-                block_sentences: int = BLOCK_SENTENCES) -> DataFrame:
-    """(doc_index, sent_no, n_tokens) -> plan rows (``PLAN_SCHEMA``).
-
-    Sentence lengths are hash-partitioned by document and sorted within partitions;
-    ``mapInPandas`` then streams each partition's Arrow batches and walks every
-    document once its last sentence has arrived (a document cut by a batch edge is
-    carried to the next batch). Only lengths pass through Python."""
-    M = max_seq_length - 3
-    cols = ["rep", "doc_index", "start", "end", "cut", "is_random_next", "other_doc", "target", "target_b"]
-
-    def plan_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-        docs = pdf["doc_index"].to_numpy(np.int64)
-        lens = pdf["n_tokens"].to_numpy(np.int64)
-        cuts = np.flatnonzero(np.diff(docs)) + 1
-        rows: list[tuple] = []
-        for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(docs)]])):
-            rows.extend(walk_document(lens[lo:hi], int(docs[lo]), reps, n_docs, seed, M, short_seq_prob))
-        out = pd.DataFrame(rows, columns=cols)
-        return out.astype({"other_doc": "Int64", "target_b": "Int64"})
-
-    def per_partition(batches):
-        carry = None
-        for pdf in batches:
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            last = pdf["doc_index"].iloc[-1]
-            tail = pdf["doc_index"].to_numpy() == last
-            carry = pdf[tail]
-            done = pdf[~tail]
-            if len(done):
-                yield plan_frame(done)
-        if carry is not None and len(carry):
-            yield plan_frame(carry)
-
-    # explicit partition count: the input is small in bytes but heavy in Python work,
-    # and adaptive coalescing would otherwise fold it into very few tasks
-    spark = sent_lengths.sparkSession
-    parts = cpu_partitions(spark)
-    normal = sent_lengths.filter(F.col("n_sent") <= hot_sentences)
-    ordered = (normal.select("doc_index", "sent_no", "n_tokens").repartition(parts, "doc_index")
-               .sortWithinPartitions("doc_index", "sent_no"))
-    planned = ordered.mapInPandas(per_partition, PLAN_SCHEMA)
-    hot = sent_lengths.filter(F.col("n_sent") > hot_sentences)
-    return planned.unionByName(plan_hot_documents(hot, n_docs, reps, seed, M, short_seq_prob, block_sentences))
-
-
-def plan_hot_documents(hot: DataFrame, n_docs: int, reps: int, seed: int, max_num_tokens: int,
-                       short_seq_prob: float, block: int) -> DataFrame:
-    """The same plan for documents too large for one task, with no group larger than
-    one block of sentences plus an overlap of ``max_num_tokens`` sentences.
-
-    A chunk spans at most ``T <= max_num_tokens`` sentences (every sentence has a
-    token), so the walk enters block b at one of its first ``max_num_tokens``
-    sentences. (1) Per (document, block): for every possible entry, the start at
-    which the walk leaves the block (walks from different entries merge quickly and
-    are memoised). (2) Per (repeat, document): chain the exit tables block by block
-    to get the actual entry of every block (one small row per block). (3) Per
-    (document, block): walk from the actual entry and emit the chunks that start in
-    the block. The result equals the single-pass walk row for row."""
-    M = max_num_tokens
+                short_seq_prob: float, block_sentences: int = BLOCK_SENTENCES) -> DataFrame:
+    """(doc_index, sent_no, n_tokens, n_sent) -> plan rows (``PLAN_SCHEMA``).
+
+    A chunk spans at most ``T <= max_seq_length - 3`` sentences (every sentence has a token), so the
+    loop enters a block at one of its first ``T`` sentences. (1) Each block that another follows: for
+    every possible entry, the start at which the loop leaves the block (loops from different entries merge
+    quickly and are remembered). (2) Per repeat and document, these exits chained block by block give the
+    entry of every block (one small row per block). (3) Each block: the loop from its entry, with the
+    chunks that start in it; the first block is entered at its first sentence.
+
+    Blocks are neighbours in sorted partitions and streamed; only lengths pass through Python."""
+    M, block = max_seq_length - 3, block_sentences
     if block < M:
         raise ValueError(f"block of {block} sentences is shorter than the longest chunk ({M})")
-    b = F.floor(F.col("sent_no") / block).cast("long")
-    rows = hot.select("doc_index", "sent_no", "n_tokens", "n_sent", b.alias("block"))
-    overlap = rows.filter((F.col("sent_no") % block < M) & (F.col("block") > 0)).withColumn("block", F.col("block") - 1)
-    blocks = rows.unionByName(overlap)
-
-    def window(pdf: pd.DataFrame):
-        pdf = pdf.sort_values("sent_no")
-        doc = int(pdf["doc_index"].iloc[0])
-        blk = int(pdf["block"].iloc[0])
-        n_total = int(pdf["n_sent"].iloc[0])
-        base = blk * block
-        P = np.concatenate([[0], np.cumsum(pdf["n_tokens"].to_numpy(np.int64))])
-        return doc, blk, n_total, base, P
-
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, blk, n_total, base, P = window(pdf)
-        stop = min(base + block, n_total)
-        out = []
-        for rep in range(reps):
-            T = target_length(seed, rep, doc, M, short_seq_prob)
-            # every possible entry; one past the document end is its own exit
-            entries = [0] if blk == 0 else list(range(base, base + M))
-            memo: dict[int, int] = {}
-            ex = []
-            for e in entries:
-                path, s = [], e
-                while s < stop and s not in memo:
-                    path.append(s)
-                    s = _next_start(P, base, n_total, doc, rep, T, s, n_docs, seed)
-                final = memo.get(s, s)
-                for v in path:
-                    memo[v] = final
-                ex.append(final)
-            out.append((rep, doc, blk, ex))
-        return pd.DataFrame(out, columns=["rep", "doc_index", "block", "exits"])
-
-    ex = blocks.groupBy("doc_index", "block").applyInPandas(
-        exits, "rep int, doc_index long, block long, exits array<long>")
-
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
+    number = F.floor(F.col("sent_no") / block).cast("long")
+    rows = sent_lengths.select("doc_index", "sent_no", "n_tokens", "n_sent", number.alias("block"))
+    # The first sentences of a block also end the block before it.
+    copies = F.when((F.col("block") > 0) & (F.col("sent_no") % block < M), F.array(F.col("block"), F.col("block") - 1)).otherwise(F.array("block"))
+    blocks = rows.withColumn("block", F.explode(copies))
+    # An explicit partition count: few bytes, but heavy in Python work.
+    parts = cpu_partitions(sent_lengths.sparkSession)
+
+    def spread(df: DataFrame) -> DataFrame:
+        return df.repartition(parts, "doc_index", "block").sortWithinPartitions("doc_index", "block", "sent_no")
+
+    def exits(batches):
+        for _, b in _blocks(batches, block):
+            out = []
+            for rep in range(reps):
+                T = target_length(seed, rep, b.doc, M, short_seq_prob)
+                memo: dict[int, int] = {}
+                found = []
+                for e in [0] if b.number == 0 else range(b.base, b.base + M):
+                    path, s = [], e
+                    while s < b.stop and s not in memo:
+                        path.append(s)
+                        s = _next_start(b.P, b.base, b.n_total, b.doc, rep, T, s, n_docs, seed)
+                    final = memo.get(s, s)
+                    memo.update((v, final) for v in path)
+                    found.append(final)
+                out.append((rep, b.doc, b.number, found))
+            yield pd.DataFrame(out, columns=["rep", "doc_index", "block", "exits"])
+
+    left = spread(blocks.filter(F.col("n_sent") > (F.col("block") + 1) * block))
+    tables = left.mapInPandas(exits, "rep int, doc_index long, block long, exits array<long>")
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
-        e, out = 0, []
         rep, doc = int(pdf["rep"].iloc[0]), int(pdf["doc_index"].iloc[0])
+        e, out = 0, []
         for blk, table in zip(pdf["block"].tolist(), pdf["exits"].tolist()):
-            base = blk * block
-            if e >= base + block:  # (cannot happen: exits land in the next block's first rows)
-                continue
-            out.append((rep, doc, blk, e))
-            e = int(table[0] if blk == 0 else table[e - base])
+            e = int(table[e - blk * block])
+            out.append((rep, doc, blk + 1, e))
         return pd.DataFrame(out, columns=["rep", "doc_index", "block", "entry"])
 
-    entries = ex.groupBy("rep", "doc_index").applyInPandas(stitch, "rep int, doc_index long, block long, entry long")
-    ent = entries.groupBy("doc_index", "block").agg(
-        F.map_from_entries(F.collect_list(F.struct("rep", "entry"))).alias("entries"))
-
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, blk, n_total, base, P = window(pdf)
-        starts = pdf["entries"].iloc[0]
-        stop = min(base + block, n_total)
-        rows_out = []
-        for rep, e in dict(starts).items():
-            T = target_length(seed, rep, doc, M, short_seq_prob)
-            s = int(e)
-            while s < stop:
-                row, s = _step(P, base, n_total, doc, int(rep), T, s, n_docs, seed)
-                rows_out.append(row)
-        out = pd.DataFrame(rows_out, columns=["rep", "doc_index", "start", "end", "cut", "is_random_next",
-                                              "other_doc", "target", "target_b"])
-        return out.astype({"other_doc": "Int64", "target_b": "Int64"})
-
-    return blocks.join(ent, ["doc_index", "block"]).groupBy("doc_index", "block").applyInPandas(emit, PLAN_SCHEMA)
+    entries = tables.groupBy("rep", "doc_index").applyInPandas(chain, "rep int, doc_index long, block long, entry long")
+    entries = entries.groupBy("doc_index", "block").agg(F.sort_array(F.collect_list(F.struct("rep", "entry"))).alias("_e"))  # one per repeat
+    entries = entries.select("doc_index", "block", F.col("_e.entry").alias("entries"))
+
+    def emit(batches):
+        out: list[tuple] = []
+        for pdf, b in _blocks(batches, block):
+            starts = pdf["entries"].iloc[0]
+            for rep in range(reps):
+                T = target_length(seed, rep, b.doc, M, short_seq_prob)
+                s = 0 if starts is None else int(starts[rep])
+                while s < b.stop:
+                    row, s = _step(b.P, b.base, b.n_total, b.doc, rep, T, s, n_docs, seed)
+                    out.append(row)
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=PLAN_COLS).astype({"other_doc": "Int64", "target_b": "Int64"})
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=PLAN_COLS).astype({"other_doc": "Int64", "target_b": "Int64"})
+
+    return spread(blocks.join(entries, ["doc_index", "block"], "left")).mapInPandas(emit, PLAN_SCHEMA)
 
 
 def cpu_partitions(spark) -> int:

@@ -4,6 +4,7 @@ pretraining records."""
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexiforge.functions.rng import py_randint, py_u
@@ -102,8 +103,9 @@ def test_pretraining_invariants_and_partition_independence(spark):
         assert r.input_ids[0] == 4
 
 
-def test_hot_document_path_equals_single_walk(spark):
-    """Documents planned block-wise (forced with tiny thresholds) give the same plan."""
+@pytest.mark.parametrize("block", [13, 40, sequences.BLOCK_SENTENCES])
+def test_plan_equals_single_walk(spark, block):
+    """Any block size gives the plan of the loop over each whole document."""
     from lexiforge.plans import q_corpus as Q
     from lexiforge.plans.pretraining import PretrainingConfig, sentence_ids
 
@@ -113,13 +115,13 @@ def test_hot_document_path_equals_single_walk(spark):
 
     docs, s, d, words = sentence_ids(sents, V.word_vocab(sents, 500), 12345)
     n_docs = docs.count()
-    base = sequences.plan_chunks(s, n_docs, 3, 12345, 16, 0.3)
-    hot = sequences.plan_chunks(s, n_docs, 3, 12345, 16, 0.3, hot_sentences=20, block_sentences=13)
-    key = lambda r: tuple(r)
-    a = sorted(map(key, base.collect()))
-    b = sorted(map(key, hot.collect()))
-    assert s.filter("n_sent > 20").count() > 0
-    assert a == b
+    got = sorted(map(tuple, sequences.plan_chunks(s, n_docs, 3, 12345, 16, 0.3, block_sentences=block).collect()), key=repr)
+    lens = {}
+    for r in s.select("doc_index", "sent_no", "n_tokens").orderBy("doc_index", "sent_no").collect():
+        lens.setdefault(r.doc_index, []).append(r.n_tokens)
+    assert max(map(len, lens.values())) > 40
+    want = [row for doc, x in lens.items() for row in sequences.walk_document(np.array(x), doc, 3, n_docs, 12345, 13, 0.3)]
+    assert got == sorted((tuple(None if v is None else int(v) if not isinstance(v, bool) else v for v in row) for row in want), key=repr)
 
 
 def test_two_level_running_sum_equals_single_window(spark):
