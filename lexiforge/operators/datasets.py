@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import rng
 from ..functions.indexing import dense_index_by_hash
 from ..functions.text import ws_tokens
+from ..session import cut_lineage
 from . import sequences
 from . import vocab as V
 
@@ -35,8 +36,9 @@ TOTAL = "row_total"
 
 def shuffle_rows(df: DataFrame, seed: int, key_cols: list[str], out: str = "row_index") -> DataFrame:
     """Seeded full shuffle with a new dense row index, and the number of rows in
-    ``row_total`` (from the counts that the index needs anyway)."""
-    keyed = df.withColumn("_h", rng.sort_key(seed, "rows", *[F.col(c) for c in key_cols]))
+    ``row_total`` (from the counts that the index needs anyway). The keyed rows are written once, since they are
+    counted before they are numbered."""
+    keyed = cut_lineage(df.withColumn("_h", rng.sort_key(seed, "rows", *[F.col(c) for c in key_cols])))
     return dense_index_by_hash(keyed, "_h", out, key_cols, total=TOTAL).drop("_h")
 
 
@@ -52,8 +54,8 @@ def split_226(df: DataFrame, index_col: str = "row_index") -> DataFrame:
 
 
 def subsample(df: DataFrame, frac: float, seed: int, key_cols: list[str], out: str = "sample_index") -> DataFrame:
-    """Exactly round(frac * n) rows (half to even), chosen by a second seeded order."""
-    keyed = df.withColumn("_h", rng.sort_key(seed, "sample", *[F.col(c) for c in key_cols]))
+    """Exactly round(frac * n) rows (half to even), chosen by a second seeded order; the rows are written once."""
+    keyed = cut_lineage(df.withColumn("_h", rng.sort_key(seed, "sample", *[F.col(c) for c in key_cols])))
     numbered = dense_index_by_hash(keyed, "_h", out, key_cols, total="_total").drop("_h")
     return numbered.filter(F.col(out) < F.rint(F.lit(float(frac)) * F.col("_total"))).drop("_total")
 
@@ -81,7 +83,10 @@ def union_sets(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def pad_to_batch(features: DataFrame, batch: int, seq_len: int, index_col: str = "row_index") -> DataFrame:
-    """Dummy rows (zeros, label 0, not real) so the row count is a multiple of ``batch``."""
+    """Dummy rows (zeros, label 0, not real) so the row count is a multiple of ``batch``. The features are written
+    once, then counted."""
+    cols = [index_col, "input_ids", "input_mask", "segment_ids", "label_ids", "is_real_example"]
+    features = cut_lineage(features.select(*cols))
     n = features.count()
     k = (batch - n % batch) % batch
     spark = features.sparkSession
@@ -91,8 +96,7 @@ def pad_to_batch(features: DataFrame, batch: int, seq_len: int, index_col: str =
         zeros.alias("input_ids"), zeros.alias("input_mask"), zeros.alias("segment_ids"),
         F.lit(0).alias("label_ids"), F.lit(0).alias("is_real_example"),
     )
-    cols = [index_col, "input_ids", "input_mask", "segment_ids", "label_ids", "is_real_example"]
-    return features.select(*cols).unionByName(dummy)
+    return features.unionByName(dummy)
 
 
 def single_features(df: DataFrame, text_a: str, text_b: str | None, vocab: dict, max_seq_length: int,

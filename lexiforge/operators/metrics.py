@@ -7,6 +7,8 @@ come from one count per (true, predicted) pair. Only the class list (bounded) is
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,11 +178,20 @@ def gather_positions(seq, positions) -> Column:
 
 
 def linear_scores(x, weights: list[list[float]], bias: list[float]) -> Column:
-    """W x + b per class; W (classes x dims) is a bounded parameter held as
-    literals, so scoring is one projection with no shuffle."""
-    x = _c(x)
-    out = []
-    for wc, bc in zip(weights, bias):
-        w = F.split(F.lit(",".join(repr(float(v)) for v in wc)), ",").cast("array<double>")
-        out.append(F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(float(bc)), lambda acc, v: acc + v))
-    return F.array(*out)
+    """W x + b per class; W (classes x dims) is a bounded parameter. A batch is one matrix, added up dimension by
+    dimension, so a row's scores do not depend on its batch. A null vector, one of another length and one with a
+    null entry have null scores."""
+    w, b = np.array(weights, np.float64), np.array(bias, np.float64)
+
+    @F.pandas_udf("array<double>")
+    def scores(s: pd.Series) -> pd.Series:
+        out = pd.Series([[None] * len(b)] * len(s), dtype=object)
+        fine = [i for i, v in enumerate(s) if v is not None and len(v) == w.shape[1] and None not in v]
+        x = np.array([s.iloc[i] for i in fine], np.float64).reshape(len(fine), w.shape[1])
+        total = np.repeat(b[None, :], len(fine), axis=0)
+        for d in range(w.shape[1]):
+            total += x[:, d, None] * w[:, d]
+        out[fine] = pd.Series(list(total), index=fine, dtype=object)
+        return out
+
+    return scores(_c(x))

@@ -183,7 +183,7 @@ def i18_linear_scores(spark, sf):
 def _pred_file(spark, sf) -> str:
     lg = logits(spark, sf).select(F.col("vec_id").alias("row_id"), F.col("x").alias("probabilities"),
                                   F.lit(True).alias("is_real_example"))
-    return writers.write_predictions(lg, spark, "predictions", expected_rows=lg.count())
+    return writers.write_predictions(lg, spark, "predictions", expected_rows=T(spark, sf, "embeddings").count())
 
 
 @register("b5_a7_predictions_round_trip", with_ctes(_LOGITS, "SELECT vec_id AS row_id, x AS probabilities FROM lg"))
