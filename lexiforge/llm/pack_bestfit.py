@@ -85,11 +85,25 @@ class Encoder:
             parts = SINGLE.split(text)
         return parts[:1] + [" " + p for p in parts[1:]]
 
+    def ids(self, chunk: str) -> list[int]:
+        """Ids of a chunk. The pattern takes a run of white space up to its last character (all of it at the
+        end) as one piece, but its engine's stack grows with the run, so long runs are cut out by the same rule
+        and encoded as the one piece that they are."""
+        if len(chunk) < LONG_RUN:
+            return self.bpe.encode_ordinary(chunk)
+        out, at = [], 0
+        for run in LONG_SPACE.finditer(chunk):
+            stop = run.end() if run.end() == len(chunk) else run.end() - 1
+            out += self.bpe.encode_ordinary(chunk[at : run.start()])
+            out += self.bpe._encode_single_piece(chunk[run.start() : stop])
+            at = stop
+        return out + self.bpe.encode_ordinary(chunk[at:])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         lists = [self.chunks(t) for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        known, ids = self.cache, self.bpe.encode_ordinary
+        known, ids = self.cache, self.ids
         for c in {c for part in lists for c in part if c not in known}:
             new = ids(c)
             known[c] = struct.pack(f"<{len(new)}I", *new)
@@ -104,6 +118,9 @@ class Encoder:
 
 
 SPACES = re.compile(r"\s ")
+LONG_RUN = 4096
+#: A long run of what the pattern's engine takes for white space (the Unicode property).
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 

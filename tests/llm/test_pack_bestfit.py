@@ -52,6 +52,20 @@ def test_encoder_equals_the_tokenizer():
     assert got == [np.asarray(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_long_white_space():
+    """Ids of long runs equal the tokenizer's, at every kind of end; 10 million blanks are encoded."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    n = pb.LONG_RUN
+    runs = [" " * (n - 1), " " * n, " " * (n + 900), "\n" * n, " \n\t" * n, "\u3000" * n, "\x1c" * n, " " * n + "\n"]
+    texts = [a + r + b for r in runs for a in ("", "x", "7 ", "<|endoftext|>") for b in ("", "y", ".", "'s", "<|endoftext|>", "\x1c")]
+    texts.append("a" + " " * n + "b" + "\n" * n + "c")
+    got = pb.encoder(PATH).encode_added(texts)
+    assert got == [np.asarray(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert len(pb.encoder(PATH).encode_added(["a" + " " * 10_000_000 + "b"])[0]) == 4 * 10_000_001
+
+
 def test_pieces_equal_the_tokenizer_as_it_is_loaded(spark, frame):
     from tokenizers import Tokenizer
 
