@@ -5,7 +5,9 @@ value, so cuts depend on nearby content only; each chunk gives one character of
 signature. A fingerprint holds the signatures at the block size that the text's length asks
 for and at twice that, ``size:signature:signature``; two fingerprints are compared by edit
 distance where their block sizes meet (equal, or one twice the other), else they
-are unlike. Signatures have no length limit, and the whole text goes in.
+are unlike. The whole text goes in. Text that repeats itself hits the trigger again and again, so its block size is
+doubled until the signature has no more than ``MOST`` characters, which also bounds the cost of a
+comparison.
 
 Each document is also compared with its successor by ``doc_id`` and with a version of itself
 that ends in the successor's beginning. For that, documents are dealt to nested id ranges and
@@ -33,7 +35,10 @@ LEAST = 4
 WINDOW = 7
 AIM = 64
 FEWEST = 16
+MOST = 256
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+#: Block sizes stay below the range of the hash (a window triggers at this size once in 2^30).
+LARGEST = 1 << 30
 #: Bytes hashed at a time; longer texts go block by block.
 STEP = 1 << 22
 
@@ -87,10 +92,16 @@ def fingerprint(text: str) -> str:
     while size * AIM < len(raw):
         size *= 2
     one, two = _signature(raw, (size, 2 * size))
+    if len(one) > MOST:
+        while len(one) > MOST and size < LARGEST:
+            size *= 2
+            one, two = two, _signature(raw, (2 * size,))[0]
+        return f"{size}:{one}:{two}"
     while len(one) < FEWEST and size > LEAST:  # few triggers: a finer cut
-        size //= 2
-        two = one
-        one = _signature(raw, (size,))[0]
+        finer = _signature(raw, (size // 2,))[0]
+        if len(finer) > MOST:
+            break
+        size, one, two = size // 2, finer, one
     return f"{size}:{one}:{two}"
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from lexiforge.llm import ctph
@@ -26,8 +27,6 @@ def brute_signature(raw, size):
 
 @pytest.mark.parametrize("step", [1 << 22, 13])
 def test_signature(monkeypatch, step):
-    import numpy as np
-
     monkeypatch.setattr(ctph, "STEP", step)
     rng = random.Random(1)
     for n in (1, 6, 7, 8, 50, 400):
@@ -79,6 +78,24 @@ def test_successors(spark, frame):
     assert sum(r.near_edited > r.near_next + 0.2 for r in some) > 0.95 * len(some)
 
 
+def test_long_repetitive_texts(spark, frame):
+    """Texts of 5 MB that repeat a few bytes have short signatures, and comparing them ends."""
+    import time
+
+    for w in ("ab c", "x", "lorem ipsum ", "0123456789", "é", "abcdefg hijk ", "zq", "so so ", "na"):
+        assert all(len(s) <= ctph.MOST for s in ctph.fingerprint((w * 60_000)[:60_000]).split(":")[1:])
+    # One that hits the trigger at the text's own block size again and again.
+    rng = random.Random(5)
+    hot = next(w for w in ("".join(rng.choice("abcdefgh ") for _ in range(9)) for _ in range(100_000))
+               if len(ctph._signature(np.frombuffer((w * 200).encode(), np.uint8), (1024,))[0]) > 150)
+    rows = [(1, hot * 555_000), (2, hot * 500_000 + "end"), (3, "x" * 5_000_000)]
+    start = time.time()
+    out = {r.doc_id: r for r in ctph.compare_successors(frame(rows)).collect()}
+    assert time.time() - start < 60
+    assert all(len(s) <= ctph.MOST for r in out.values() for s in r.fingerprint.split(":")[1:])
+    assert out[1].near_next == pytest.approx(brute_likeness(out[1].fingerprint, out[2].fingerprint), abs=1e-9)
+
+
 def test_edge_rows(spark, frame):
     assert ctph.fingerprint("") == "4::"
     one = ctph.compare_successors(frame([(1, "only one here")])).collect()
