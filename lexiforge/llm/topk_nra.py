@@ -4,11 +4,12 @@ The score of a candidate is the sum over dimensions of query times component, so
 list sorted by its component, read from the end that helps the query. Candidates are cut into
 blocks, each with its own sorted lists. In a block:
 
-* All lists are read in rounds, each twice as deep as the one before. What has not been read of a
+* All lists are read in rounds, a quarter of their entries in each. What has not been read of a
   candidate is bounded by the list: no more than the value that the reading has reached (upper bound of
   the score), no less than the list's last value (lower bound).
 * The k-th greatest lower bound, or the k-th score of the blocks read before, is a threshold. A query
-  stops when few candidates have an upper bound that reaches it; all others cannot qualify.
+  stops when few candidates have an upper bound that reaches it; all others cannot qualify. (To settle an
+  eighth of a block costs less than another round over all of it.)
 * Those few get their final scores, and the best k stay. At full depth both bounds are the score, so
   every query stops.
 
@@ -50,8 +51,8 @@ class Settings:
     scale: int = 256
     query_block: int = 4096  # queries of a task
     block: int = 1024  # candidates whose lists are read together
-    first_depth: int = 64  # entries of a list read in the first round
-    few: int = 4  # a query stops when no more than few * k candidates are left
+    rounds: int = 4  # in which all lists of a block would be read
+    few: float = 0.125  # a query stops when no more than this share of a block is left (k candidates at least)
 
 
 def usable(e: Column) -> Column:
@@ -120,7 +121,7 @@ def search_block(q: np.ndarray, x: np.ndarray, kth: np.ndarray, k: int, s: Setti
     open_ = np.arange(len(q))
     found = []
     depth_of = np.zeros(len(q), np.int64)
-    depth = min(s.first_depth, len(x))
+    step = depth = max(-(-len(x) // s.rounds), 1)
     while len(open_):
         lists.read(depth)
         upper, lower = lists.bounds(qn[open_])
@@ -129,7 +130,7 @@ def search_block(q: np.ndarray, x: np.ndarray, kth: np.ndarray, k: int, s: Setti
             low = np.partition(lower, len(x) - k, axis=1) if kind is np.float64 else np.sort(lower, axis=1)
             least = np.maximum(least, low[:, len(x) - k])
         left = upper >= least[:, None]
-        stop = (left.sum(axis=1) <= s.few * k) | (lists.depth == lists.n)
+        stop = (left.sum(axis=1) <= max(s.few * lists.n, k)) | (lists.depth == lists.n)
         i, j = np.nonzero(left[stop])
         done = open_[stop]
         score = upper[stop][i, j] if lists.depth == lists.n else _exact(qn, xn, done[i], j)
@@ -138,7 +139,7 @@ def search_block(q: np.ndarray, x: np.ndarray, kth: np.ndarray, k: int, s: Setti
         found.append((done[i], j, score.astype(np.int64)))
         depth_of[done] = lists.depth
         open_ = open_[~stop]
-        depth *= 2
+        depth += step
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), depth_of
     i, j, score = (np.concatenate(c) for c in zip(*found))

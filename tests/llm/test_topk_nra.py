@@ -27,7 +27,7 @@ def answer(spark, rows, **settings):
     return sorted((tuple(r) for r in tk.top_k(df, F.col("vec_id") % 50 == 0, tk.Settings(**settings)).collect()), key=str)
 
 
-@pytest.mark.parametrize("settings", [{}, {"block": 4, "query_block": 3, "first_depth": 1}])
+@pytest.mark.parametrize("settings", [{}, {"block": 4, "query_block": 3, "rounds": 2}])
 def test_equals_brute_force(spark, settings):
     """Near copies, a hot vector, ties (few distinct values), in many small blocks too."""
     rng = np.random.default_rng(2)
