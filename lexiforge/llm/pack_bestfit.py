@@ -85,12 +85,10 @@ class Encoder:
             parts = SINGLE.split(text)
         return parts[:1] + [" " + p for p in parts[1:]]
 
-    def ids(self, chunk: str) -> list[int]:
-        """Ids of a chunk. The pattern takes a run of white space up to its last character (all of it at the
+    def long_ids(self, chunk: str) -> list[int]:
+        """Ids of a long chunk. The pattern takes a run of white space up to its last character (all of it at the
         end) as one piece, but its engine's stack grows with the run, so long runs are cut out by the same rule
         and encoded as the one piece that they are."""
-        if len(chunk) < LONG_RUN:
-            return self.bpe.encode_ordinary(chunk)
         out, at = [], 0
         for run in LONG_SPACE.finditer(chunk):
             stop = run.end() if run.end() == len(chunk) else run.end() - 1
@@ -103,9 +101,9 @@ class Encoder:
         lists = [self.chunks(t) for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        known, ids = self.cache, self.ids
+        known, ids = self.cache, self.bpe.encode_ordinary
         for c in {c for part in lists for c in part if c not in known}:
-            new = ids(c)
+            new = ids(c) if len(c) < LONG_RUN else self.long_ids(c)
             known[c] = struct.pack(f"<{len(new)}I", *new)
         return [b"".join([known[c] for c in part]) for part in lists]
 
