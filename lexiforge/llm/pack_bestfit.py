@@ -79,10 +79,9 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
-        if SPACES.search(text) is None:
-            parts = text.split(" ")
-        else:
-            parts = SINGLE.split(text)
+        if SPACES.search(text) is None and "\0" not in text:
+            return text.replace(" ", "\0 ").split("\0")
+        parts = SINGLE.split(text) if SPACES.search(text) else text.split(" ")
         return parts[:1] + [" " + p for p in parts[1:]]
 
     def long_ids(self, chunk: str) -> list[int]:
@@ -104,7 +103,7 @@ class Encoder:
         known, ids = self.cache, self.bpe.encode_ordinary
         for c in {c for part in lists for c in part if c not in known}:
             new = ids(c) if len(c) < LONG_RUN else self.long_ids(c)
-            known[c] = struct.pack(f"<{len(new)}I", *new)
+            known[c] = PACK[len(new)](*new) if len(new) < len(PACK) else struct.pack(f"<{len(new)}I", *new)
         return [b"".join([known[c] for c in part]) for part in lists]
 
     def encode_added(self, texts: list[str]) -> list[bytes]:
@@ -117,6 +116,7 @@ class Encoder:
 
 SPACES = re.compile(r"\s ")
 LONG_RUN = 4096
+PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]  # by the number of ids
 #: A long run of what the pattern's engine takes for white space (the Unicode property).
 LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
