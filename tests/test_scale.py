@@ -63,3 +63,46 @@ def test_word_dictionary_puts_no_documents_together(spark, tmp_path):
     assert stored(spark) == before
     assert got == vocab.vocab_tables(Q.doc_vocab(spark, str(tmp_path), Q.doc_sentences(spark, str(tmp_path))))
     assert "two" in got[0] and "lost" not in got[0]
+
+
+def test_documents_put_together_without_writing_their_lines(spark, tmp_path):
+    """The pretraining job writes the columns that it reads, and no copy of the lines."""
+    from lexiforge.plans import q_corpus as Q
+    from lexiforge.plans import q_sequences as P
+
+    spark.createDataFrame([(i, f"some words. more words {i}\n\nother words here") for i in range(30)], "doc_id long, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    tables = os.path.join(re.sub("^file:", "", ensure_checkpoint_dir(spark)), "tables")
+    before = set(os.listdir(tables)) if os.path.isdir(tables) else set()
+    assert P._plan(spark, str(tmp_path))[3].count() > 0
+    new = sorted(set(os.listdir(tables)) - before)
+    assert not [n for n in new if n.startswith("lines-")]
+    [sentences] = [n for n in new if n.startswith("sentences-")]
+    assert spark.read.parquet(os.path.join(tables, sentences)).columns == Q.SENTENCE_TOKENS
+
+
+def test_texts_of_one_key_keep_all_their_sentences(spark):
+    """Lines of equal numbers, blank in one text only, are counted and numbered in the same order."""
+    rows = [(7, "", n, f"w{t} {n}" if (t + n) % 3 else "") for t in range(40) for n in range(25)]
+    lines = spark.createDataFrame(rows, "part long, file string, line_no long, line string")
+    for again in (False, True):
+        s = documents.to_documents(lines.repartition(5), again=again).select("doc_key", "sent_no", "sentence").collect()
+        assert sorted(r["sentence"] for r in s) == sorted(r[3] for r in rows if r[3])
+        by_doc = {}
+        for r in s:
+            by_doc.setdefault(r["doc_key"], []).append(r["sent_no"])
+        assert all(sorted(v) == list(range(len(v))) for v in by_doc.values())
+
+
+def test_token_lookups_on_odd_arrays(spark):
+    """Null and empty arrays, null and unknown tokens keep their place."""
+    from lexiforge.operators import vocab
+
+    rows = [(0, ["a", "x", None]), (1, None), (2, []), (3, ["b", "b"])]
+    df = spark.createDataFrame(rows, "k int, t array<string>").coalesce(1)
+    ids = vocab.tokens_to_ids(F.col("t"), {"a": 3, "b": 1})
+    got = df.select("k", ids.alias("i")).orderBy("k").collect()
+    assert [r["i"] for r in got] == [[3, 0, 0], None, [], [1, 1]]
+    back = spark.createDataFrame([(0, [3, 0, 9, -1, None]), (1, None), (2, [])], "k int, i array<int>").coalesce(1)
+    back = back.select("k", vocab.ids_to_tokens(F.col("i"), {"a": 3, "b": 1}).alias("t")).orderBy("k").collect()
+    assert [r["t"] for r in back] == [["a", "<unk>", "<unk>", "<unk>", "<unk>"], None, []]
