@@ -132,3 +132,29 @@ def test_two_level_running_sum_equals_single_window(spark):
     a = {(r.part, r.o) for r in exclusive_running_sum(df, ["part", "file"], "v", "o").collect()}
     b = {(r.part, r.o) for r in ordered_running_sum(df, ["part", "file"], "v", "o").collect()}
     assert a == b
+
+
+def test_planner_keeps_blocks_whole(spark):
+    """The sentences of a block come together, with no join that Spark could broadcast instead of bringing them there."""
+    rng = np.random.default_rng(3)
+    lens = {d: rng.integers(1, 9, 60 + d).tolist() for d in range(40)}
+    rows = [(d, i, n, len(x)) for d, x in lens.items() for i, n in enumerate(x)]
+    s = spark.createDataFrame(rows, "doc_index long, sent_no long, n_tokens int, n_sent long").repartition(8)
+    plan = sequences.plan_chunks(s, 40, 2, 12345, 16, 0.3, block_sentences=20)
+    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, plan.collect()), key=repr)
+    want = [row for doc, x in lens.items() for row in sequences.walk_document(np.array(x), doc, 2, 40, 12345, 13, 0.3)]
+    assert got == sorted(map(tuple, want), key=repr)
+
+
+def test_masking_takes_the_least_draws(spark):
+    """Chosen positions are the candidates of least draw, for instances of any length in one batch."""
+    rows = [(k, [4, *range(100, 100 + n), 5]) for k, n in enumerate((0, 1, 3, 40, 126, 2, 126))]
+    x = spark.createDataFrame(rows, "k long, ids array<int>").withColumn("base", masking.draws(9, F.col("k")))
+    got = x.withColumn("m", masking.mask_instances(F.col("ids"), F.col("base"), 4, 5, 6, list(range(100, 150)), 0.15, 20)).collect()
+    for r in got:
+        draw = {p: int(masking._mix32_np(np.array([r.base[0]]), np.array([p]))[0]) for p, i in enumerate(r.ids) if i not in (4, 5)}
+        k = min(20, max(1, int(np.rint(len(r.ids) * 0.15))))
+        assert r.m.pos == sorted(sorted(draw, key=lambda p: (draw[p], p))[:k])
+        assert r.m.lab == [r.ids[p] for p in r.m.pos] and len(r.m.out_ids) == len(r.ids)
+        assert all(a == b for p, (a, b) in enumerate(zip(r.ids, r.m.out_ids)) if p not in r.m.pos)
