@@ -2,9 +2,10 @@
 
 Spark's own writers choose their file names. This data source takes rows (path, content): the relative
 path of a file and its text, or a part of it; parts of one file must follow each other in one task.
-Each task attempt writes below a staging folder of its own and reports its files. Only the
+Each task attempt writes below a staging folder of its own and reports that folder. Only the
 attempts that Spark commits count: the driver moves their files to their names and removes the staging
 folder, so failed, repeated and speculative attempts leave nothing, and a job that fails leaves the old files.
+The driver holds the names of one task's files at a time, and a number for each file.
 
 Folders are reached through Arrow's file systems, so a shared folder of any kind that it knows will do.
 """
@@ -12,15 +13,19 @@ Folders are reached through Arrow's file systems, so a shared folder of any kind
 from __future__ import annotations
 
 import posixpath
+import time
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 FORMAT = "lexiforge_named_text"
+ABORT_LOOKS = 100  # a fifth of a second each
 
 
 def _filesystem(root: str):
@@ -45,7 +50,7 @@ def _relative(path: str | None) -> str:
 @dataclass
 class Written(WriterCommitMessage):
     folder: str
-    files: list[str]
+    files: int
 
 
 class _Writer(DataSourceWriter):
@@ -56,56 +61,75 @@ class _Writer(DataSourceWriter):
     def write(self, iterator: Iterator) -> Written:
         system, root = _filesystem(self.root)
         folder = f"{self.staging}/{uuid.uuid4().hex}"
-        files: list[str] = []
+        last = None
         seen: set[str] = set()
         out = None
         for row in iterator:
             name = _relative(row[0])
-            if not files or name != files[-1]:
+            if name != last:
                 if name in seen:
                     raise ValueError(f"the parts of {name} do not follow each other")
                 if out is not None:
                     out.close()
                 seen.add(name)
-                files.append(name)
+                last = name
                 target = f"{root}/{folder}/{name}"
                 system.create_dir(posixpath.dirname(target), recursive=True)
                 out = system.open_output_stream(target)
             out.write((row[1] or "").encode())
         if out is not None:
             out.close()
-        return Written(folder, files)
+        return Written(folder, len(seen))
 
     def commit(self, messages: list) -> None:
         from pyarrow import fs
 
         system, root = _filesystem(self.root)
-        done = [m for m in messages if m is not None]
-        names = [f for m in done for f in m.files]
-        if len(set(names)) < len(names):
-            twice = next(f for i, f in enumerate(sorted(names)) if sorted(names)[i - 1] == f and i)
+        folders = [f"{root}/{m.folder}" for m in messages if m is not None and m.files]
+
+        def names(folder: str) -> list[str]:
+            found = system.get_file_info(fs.FileSelector(folder, recursive=True))
+            return [f.path[len(folder) + 1 :] for f in found if f.type == fs.FileType.File]
+
+        every = np.sort(np.concatenate([np.fromiter(map(hash, names(f)), np.int64) for f in folders] or [np.empty(0, np.int64)]))
+        doubtful = set(every[1:][every[1:] == every[:-1]].tolist())
+        twice = [n for n, k in Counter(n for f in folders for n in names(f) if hash(n) in doubtful).items() if k > 1] if doubtful else []
+        if twice:
             self.abort(messages)
-            raise ValueError(f"two tasks wrote {twice}")
+            raise ValueError(f"two tasks wrote {min(twice)}")
         system.create_dir(root, recursive=True)
         if self.overwrite:
             for info in system.get_file_info(fs.FileSelector(root)):
                 if info.base_name != self.staging:
                     (system.delete_dir if info.type == fs.FileType.Directory else system.delete_file)(info.path)
-        for folder in sorted({posixpath.dirname(f) for f in names} - {""}):
-            system.create_dir(f"{root}/{folder}", recursive=True)
-        for m in done:
-            for f in m.files:
-                system.move(f"{root}/{m.folder}/{f}", f"{root}/{f}")
+        made = {""}
+        for folder in folders:
+            for f in names(folder):
+                if posixpath.dirname(f) not in made:
+                    made.add(posixpath.dirname(f))
+                    system.create_dir(f"{root}/{posixpath.dirname(f)}", recursive=True)
+                system.move(f"{folder}/{f}", f"{root}/{f}")
         self._clean(system, root)
 
     def abort(self, messages: list) -> None:
-        self._clean(*_filesystem(self.root))
-
-    def _clean(self, system, root: str) -> None:
+        """Tasks that were told to stop may write on for a moment: the folder has to stay away."""
+        gone = 0
+        for _ in range(ABORT_LOOKS):
+            try:
+                gone = 0 if self._clean(*_filesystem(self.root)) else gone + 1
+            except OSError:
+                gone = 0
+            if gone == 5:
+                break
+            time.sleep(0.2)
+
+    def _clean(self, system, root: str) -> bool:
         from pyarrow import fs
 
-        if system.get_file_info(f"{root}/{self.staging}").type != fs.FileType.NotFound:
+        there = system.get_file_info(f"{root}/{self.staging}").type != fs.FileType.NotFound
+        if there:
             system.delete_dir(f"{root}/{self.staging}")
+        return there
 
 
 class NamedText(DataSource):

@@ -78,3 +78,21 @@ def test_repeated_rows_count_once_over_batches_and_restarts(spark, tmp_path):
     assert send([20], 9) == [*range(15), 20]  # the watermark passes the first ids
     assert send([21, 20], 9) == [*range(15), 20, 21]
     assert send([30], 1) == [*range(15), 20, 21]  # too late to know whether it came before
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    """The driver gets the categories, not the files: neither names on commit nor Spark's own file list; hidden files stay out."""
+    from lexiforge.sinks.named_files import Written, _Writer
+
+    for label in ("a", "b"):
+        (tmp_path / label / "deep" / label).mkdir(parents=True)
+        for name in (f"{label}-1.txt", f"{label}%2F é.txt", f"{label}.csv", "other.txt", f"_{label}.txt", f"deep/{label}/{label}9.txt"):
+            (tmp_path / label / name).write_bytes(b"x" if "9" not in name else b"\xe9y")
+    got = src.read_labelled_folders(spark, str(tmp_path))
+    assert sorted((r.label, r.file_name) for r in got.select("label", "file_name").collect()) == [
+        (x, x + n) for x in ("a", "b") for n in ("%2F é.txt", "-1.txt", "9.txt")]
+    assert sorted(r.h for r in got.selectExpr("hex(cast(content as binary)) as h").collect()) == ["78"] * 4 + ["E979"] * 2
+    with pytest.raises(FileNotFoundError):
+        src.read_labelled_folders(spark, str(tmp_path / "a" / "deep" / "a"))
+    done = _Writer(str(tmp_path / "out"), True).write(iter([("a/1.txt", "x"), ("a/1.txt", "y"), ("b.txt", None)]))
+    assert isinstance(done, Written) and done.files == 2  # a number, whatever there is to write
