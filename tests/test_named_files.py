@@ -88,6 +88,7 @@ def test_folders_are_listed_by_tasks(spark, tmp_path):
         (tmp_path / label / "deep" / label).mkdir(parents=True)
         for name in (f"{label}-1.txt", f"{label}%2F é.txt", f"{label}.csv", "other.txt", f"_{label}.txt", f"deep/{label}/{label}9.txt"):
             (tmp_path / label / name).write_bytes(b"x" if "9" not in name else b"\xe9y")
+        (tmp_path / label / f"{label}-empty.txt").write_bytes(b"")
     got = src.read_labelled_folders(spark, str(tmp_path))
     assert sorted((r.label, r.file_name) for r in got.select("label", "file_name").collect()) == [
         (x, x + n) for x in ("a", "b") for n in ("%2F é.txt", "-1.txt", "9.txt")]
